@@ -21,6 +21,8 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE) -> I
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    del batch
+    pa.default_memory_pool().release_unused()  # a worker lives on, beside others
 
 
 def filled(texts: pa.Array) -> pa.Array:

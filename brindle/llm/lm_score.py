@@ -43,7 +43,7 @@ _SMALL = 13
 @dataclass(frozen=True)
 class LogBilinear:
     classes: int = 4096  # frequent words that are classes of their own
-    known: int = 65_536  # frequent words whose counts go along with the model
+    known: int = 200_000  # frequent words at most whose counts go along with the model
     known_bytes: int = 64  # longer words don't
     contexts: int = 50  # frequent words that are context symbols of their own
     dims: int = 16
@@ -85,7 +85,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in kernel.pieces(batch):
+            for piece in kernel.pieces(batch, limit=3 << 20):
                 flat, _ = kernel.words(lowered(piece.column(0)))
                 v = pc.value_counts(flat)
                 yield pa.RecordBatch.from_arrays([v.field("values").cast(pa.string()), v.field("counts").cast(pa.int64())], names=["word", "c"])
@@ -239,7 +239,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, share: np.ndarray) -> Model:
             local = Model(vocabulary, share).set(start)
             step, n = local.trainer(plan, plan.seed + 2 * part + first), 0
             for batch in batches:
-                for piece in kernel.pieces(batch):
+                for piece in kernel.pieces(batch, limit=1 << 20):
                     y, before, *_ = vocabulary.tokens(lowered(piece.column(0)))
                     for at in range(0, len(y), plan.batch):
                         step(y[at : at + plan.batch], before[:, at : at + plan.batch])
@@ -255,6 +255,20 @@ def train(docs: DataFrame, vocabulary: Vocabulary, share: np.ndarray) -> Model:
     return model
 
 
+def frequent(counts: DataFrame, plan: LogBilinear) -> pd.DataFrame:
+    """The frequent words by falling count: those from the lowest step of a logarithmic scale of counts from which on
+    there are at most plan.known words. No more rows than that come to the driver, from however many partitions."""
+    short = counts.where(F.octet_length("word") <= plan.known_bytes).withColumn("step", F.floor(F.log2("c") * 32))
+    steps = sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True)  # some thousand at most
+    least, n = None, 0
+    for r in steps:
+        if (n := n + r["n"]) > plan.known:
+            break
+        least = r["step"]
+    top = short.where(F.col("step") >= F.lit(least)).select("word", "c").toPandas()
+    return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+
+
 def scored(docs: DataFrame, held_out, plan: LogBilinear | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text); held_out is a
     condition on docs whose texts are kept out of all counts and training."""
@@ -265,7 +279,7 @@ def scored(docs: DataFrame, held_out, plan: LogBilinear | None = None) -> DataFr
     ends = training.count()
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = total + ends, distinct + (ends > 0)
-    top = counts.where(F.octet_length("word") <= plan.known_bytes).orderBy(F.desc("c"), "word").limit(plan.known).toPandas()
+    top = frequent(counts, plan)
     vocabulary = Vocabulary(top["word"].tolist(), top["c"].to_numpy(np.int64), ends, plan)
 
     # Counts and numbers of words in each form, over all words that are no class of their own.
