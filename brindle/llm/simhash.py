@@ -89,23 +89,19 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id (nulls last), then the smallest text hash.
+    """docs with one document of each component: that with the smallest doc_id (nulls last), then the smallest row hash.
 
     Only ids and hashes are compared: they are aggregated by fingerprint, then by component, and the documents to keep
     are found by an equi-join on what identifies a row's content. Of repeated rows one stays.
     """
-    key, h = "__id", "__text"
-    narrow = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias(h)), "fp")
-    marked = cut(narrow)
-    found = print_components(marked)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias(key), F.col(h)))
-    best = marked.groupBy("fp").agg(first.alias("best")).join(found, "fp").groupBy("root").agg(F.min("best").alias("best")).select(f"best.{key}", f"best.{h}")
+    key, h = "__id", "__row"
     names = {x: fresh(docs.columns, x) for x in (key, h)}
-    best = best.select(F.col(key).alias(names[key]), F.col(h).alias(names[h]))
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best[names[key]]) & (F.xxhash64(docs["text"]) == best[names[h]]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(marked) else kept
-
-
-def _repeats(marked: DataFrame) -> bool:
-    """Whether a document's id and text come more than once; only then need the kept rows be made distinct."""
-    return bool(marked.groupBy("doc_id", "__text").count().where("count > 1").limit(1).count())
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    marked = cut(fingerprints(docs.select("doc_id", "text", whole.alias(h)), "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias(key), F.col(h)))
+    best = marked.groupBy("fp").agg(first.alias("best")).join(print_components(marked), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    best = best.select(F.col(f"best.{key}").alias(names[key]), F.col(f"best.{h}").alias(names[h]))
+    kept = docs.join(best, docs["doc_id"].eqNullSafe(best[names[key]]) & (whole == best[names[h]]), "left_semi")
+    # Only if an id and row hash come more than once need the kept rows be made distinct.
+    repeated = marked.groupBy("doc_id", h).count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

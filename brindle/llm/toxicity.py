@@ -39,7 +39,7 @@ class NonNegativePU:
     decay: float = 2e-4
     beta: float = 0.0
     gamma: float = 1.0
-    #: The class prior; taken from the labels of the training fold if None.
+    #: The class prior; if None, the share of toxic labels in the training fold (with one more label that is 5% toxic).
     prior: float | None = None
 
 
@@ -90,7 +90,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, plan: NonNega
     plan = plan or NonNegativePU()
     marks = labels.where(~held_out & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, k = marks.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0))).first()
-    prior = min(max(plan.prior if plan.prior is not None else (k + 0.5) / (n + 1), 1e-4), 0.9)
+    prior = min(max(plan.prior if plan.prior is not None else (k + 0.05) / (n + 1), 1e-4), 0.9)
     positive = sample(marks.where("toxic > 0").select("doc_id", F.lit(1).alias("y")), plan.positives)
     unlabelled = sample(docs.where(~held_out & F.col("doc_id").isNotNull()).select("doc_id", F.lit(0).alias("y")), plan.unlabelled)
     y, text, bucket, _ = training_rows(docs, cut(positive.union(unlabelled)), with_dense=False)
