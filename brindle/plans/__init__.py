@@ -1 +1,6 @@
-"""See the modules of this folder."""
+"""All queries, by name."""
+
+from brindle.plans import log_queries  # noqa: F401
+from brindle.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
