@@ -101,7 +101,7 @@ def parse_logs(numbered: DataFrame, now: Column, cap: int = CONTINUATION_CAP) ->
     mark = F.when(F.max("over"), F.lit(f"\n…[continuation truncated at {cap} bytes]")).otherwise("")
     found = parsed.groupBy("source_file", "n").agg(
         F.min("line_number").alias("line_number"), F.first("entry", ignorenulls=True).alias("entry"),
-        F.concat(text(F.when(F.col("entry").isNotNull(), F.col("entry.message")).otherwise(F.trim("line"))), mark).alias("message"), F.concat(text(F.col("line")), mark).alias("raw_line"),
+        F.concat(text(F.when(F.col("entry").isNotNull(), F.col("entry.message")).otherwise(_strip(F.col("line")))), mark).alias("message"), F.concat(text(F.col("line")), mark).alias("raw_line"),
     )
     names = ["ts", "hostname", "severity", "severity_num", "process", "pid", "msg_code", "own_severity"]
     return found.select("source_file", "line_number", *[F.col(f"entry.{c}").alias(c) for c in names], "message", "raw_line")

@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from brindle.plans import log_queries, text_queries  # noqa: F401
+from brindle.plans import log_queries, retrieval_queries, text_queries  # noqa: F401
 from brindle.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
