@@ -157,7 +157,7 @@ def cut_at_first(text: Column, markers: tuple[str, ...]) -> Column:
 
 def without_thoughts(text: Column) -> Column:
     """Without think blocks and code fences around the whole."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"(?m)^```[A-Za-z]*\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), r"(?m)^```[A-Za-z]*\s*$", ""), r"^\s+|\s+$", "")
 
 
 def char_chunks(text: Column, size: int = 3000, overlap: int = 300, most: int | None = 8) -> Column:

@@ -9,12 +9,14 @@ from brindle.operators import curate as Q
 from brindle.operators import tables as T
 from brindle.plans.registry import query, table
 
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
 
 @query("SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY")
 def retention(spark, sf_dir):
-    return T.retained(table(spark, sf_dir, "events"), "ts", NOW, 10).select("event_id", "ts", "event_type")
+    return T.retained(table(spark, sf_dir, "events"), "ts", now(), 10).select("event_id", "ts", "event_type")
 
 
 @query("SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -30,7 +32,7 @@ def document_upsert(spark, sf_dir):
     t = F.lit("2024-01-01").cast("timestamp_ntz")
     old = d.where("doc_id % 3 > 0").select("doc_id", F.md5("text").alias("hash"), "source", t.alias("created_at"), t.alias("last_fetched"))
     new = d.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("hash"), F.lit("new").alias("source"))
-    return T.upsert(old, new, "doc_id", NOW, "hash").select("doc_id", "hash", "source", "outcome")
+    return T.upsert(old, new, "doc_id", now(), "hash").select("doc_id", "hash", "source", "outcome")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
@@ -42,7 +44,7 @@ def orphan_anti(spark, sf_dir):
 def ttl_stale(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     state = e.where("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("ts"))
-    return T.stale(e.select((F.col("user_id") + 20).alias("user_id")).distinct(), state, "user_id", "ts", NOW, 3)
+    return T.stale(e.select((F.col("user_id") + 20).alias("user_id")).distinct(), state, "user_id", "ts", now(), 3)
 
 
 @query("SELECT doc_id, md5(text) AS hash, ceil(n_chars / 2700)::BIGINT AS n_chunks, doc_id % 5 > 0 AND doc_id % 7 > 0 AS reuse FROM documents")

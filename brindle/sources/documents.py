@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +115,8 @@ def vectors(spark: SparkSession, blob: str, doc_ids: list[str], dims: int) -> Da
     if len(flat) != len(doc_ids) * dims:
         raise ValueError("the vector file and its manifest disagree")
     chunk = pd.Series(doc_ids).groupby(doc_ids).cumcount()
-    return spark.createDataFrame(pd.DataFrame({"doc_id": doc_ids, "chunk_idx": chunk, "v": list(flat.reshape(-1, dims).astype(float))}), "doc_id string, chunk_idx long, v array<float>")
+    v = pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), dims).cast(pa.list_(pa.float32()))
+    return spark.createDataFrame(pa.table({"doc_id": pa.array(doc_ids, pa.string()), "chunk_idx": pa.array(chunk.to_numpy(), pa.int64()), "v": v}))
 
 
 def sitemap_locations(text: Column) -> Column:

@@ -11,7 +11,7 @@ from brindle.functions.logs import parse_line
 def log_stream(spark: SparkSession, path: str, now: Column) -> DataFrame:
     """Rows of log lines in files that come under path; lines that no grammar knows go."""
     lines = spark.readStream.text(path).select(parse_line(F.col("value"), now).alias("e"))
-    return lines.where("e is not null").select("e.*")
+    return lines.where("e is not null").select("e.*").withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need one
 
 
 def counts(logs: DataFrame, watermark: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
