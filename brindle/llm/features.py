@@ -17,8 +17,9 @@ from brindle.llm import kernel
 BITS = 18
 SIZE = 1 << BITS
 _TRIM = ".,;:!?\"'()[]{}<>|#*$%&"
+_SYMBOLS = frozenset("#*$%&|<>~^=+_@\\")
 #: Dense features beside the words, see dense().
-DENSE = 6
+DENSE = 9
 
 
 def buckets(distinct: pa.Array) -> np.ndarray:
@@ -27,24 +28,32 @@ def buckets(distinct: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(w.encode()) for w in trimmed], np.int64) & (SIZE - 1)
 
 
+def endings(distinct: pa.Array) -> np.ndarray:
+    """A bucket for the symbol at each distinct word's end, -1 if there is none."""
+    last = [w[-1:] for w in distinct.to_pylist()]
+    return np.array([zlib.crc32(("\0" + c).encode()) & (SIZE - 1) if c in _SYMBOLS else -1 for c in last], np.int64)
+
+
 def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket), each pair once, sorted, for a filled array of texts."""
+    """(text, bucket) of words and of symbols at their ends, each pair once, sorted, for a filled array of texts."""
     flat, starts = kernel.words(texts)
     ids, distinct = kernel.coded(flat)
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(texts)), np.diff(starts))
-    pairs = np.unique(text << BITS | buckets(distinct)[ids])
+    end = endings(distinct)[ids]
+    pairs = np.unique(np.concatenate([text << BITS | buckets(distinct)[ids], (text << BITS | end)[end >= 0]]))
     return pairs >> BITS, pairs & (SIZE - 1)
 
 
 def dense(texts: pa.Array) -> np.ndarray:
-    """A row for each text: length, shares of symbols, repeated lines and windows, word length, emptiness; about 0 to 1."""
+    """A row for each text, about 0 to 1: length, shares of symbols, repeated lines, windows and words, capitals,
+    exclamation marks, word length, and shortness."""
     c = {k: v.astype(np.float64) for k, v in kernel.text_counts(texts).items()}
     n = np.maximum(c["n_words"], 1)
     share = lambda k: np.minimum(c[k] / n, 1)
     short = np.maximum(0, 1 - c["n_words"] / 20)
-    return np.stack([np.log1p(c["n_words"]) / 10, np.sqrt(share("n_symbols")), np.sqrt(share("n_dup_lines")), np.sqrt(share("n_repeat_words")), np.minimum(c["word_chars"] / n / 12, 2), short], 1)
+    return np.stack([np.log1p(c["n_words"]) / 10, np.sqrt(share("n_symbols")), np.sqrt(share("n_dup_lines")), np.sqrt(share("n_repeat_words")), np.minimum(c["word_chars"] / n / 12, 2), short, np.sqrt(share("n_adjacent")), np.minimum(c["n_capitals"] / np.maximum(c["word_chars"], 1), 1), np.sqrt(share("n_calls"))], 1)
 
 
 def sample(ids: DataFrame, most: int) -> DataFrame:
@@ -79,6 +88,13 @@ def training_rows(docs: DataFrame, chosen: DataFrame, with_dense: bool) -> tuple
     return y, np.repeat(np.arange(len(y)), n), rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), more
 
 
+def telling(inside: np.ndarray, outside: np.ndarray, n_inside: int, n_outside: int, errors: float) -> np.ndarray:
+    """Buckets whose share of documents differs between two samples by so many standard errors."""
+    both = (inside + outside) / (n_inside + n_outside)
+    error = np.sqrt(both * (1 - both) * (1 / max(n_inside, 1) + 1 / max(n_outside, 1))) + 1e-12
+    return np.abs(inside / max(n_inside, 1) - outside / max(n_outside, 1)) >= errors * error
+
+
 class Adam:
     """Steps against a gradient."""
 

@@ -112,7 +112,8 @@ _SYMBOL[list(b"#*$%&|<>")] = 1
 
 
 def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text (a filled array)."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text (a filled array); also words equal to
+    the one before (n_adjacent), ASCII capitals and exclamation marks."""
     flat, starts = words(texts)
     ids, _ = coded(flat)
     offsets, data = raw(texts)
@@ -125,7 +126,12 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
         worded = (pc.binary_length(pc.ascii_trim_whitespace(distinct)).to_numpy(zero_copy_only=False) > 0)[line_ids]
         text = np.repeat(np.arange(len(texts)), np.diff(lines_at))
         dup = per_text((worded & pd.Series(text * np.int64(len(distinct)) + line_ids).duplicated().to_numpy()).astype(np.int64), lines_at)
+    text = np.repeat(np.arange(len(texts)), np.diff(starts))
+    again = np.zeros(len(ids), np.int64)
+    again[1:] = (ids[1:] == ids[:-1]) & (text[1:] == text[:-1])
+    own = data[offsets[0] : offsets[-1]]
     return {
+        "n_adjacent": per_text(again, starts), "n_capitals": per_text(((own >= 65) & (own <= 90)).astype(np.int64), offsets - offsets[0]), "n_calls": per_text((own == 33).astype(np.int64), offsets - offsets[0]),
         "n_words": np.diff(starts), "word_chars": per_text(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64), starts),
         "n_symbols": per_text(_SYMBOL[data[offsets[0] : offsets[-1]]], offsets - offsets[0]), "n_dup_lines": dup, "n_repeat_words": repeated_words(ids, starts),
     }

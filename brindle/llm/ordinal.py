@@ -23,17 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import cut, fold_of, table
-from brindle.llm.features import DENSE, SIZE, Adam, linear_scores, sample, training_rows
+from brindle.llm.features import DENSE, SIZE, Adam, linear_scores, sample, telling, training_rows
 
 
 @dataclass(frozen=True)
 class CumulativeLink:
     #: At most so many rated documents are trained on, by hash of doc_id.
     most: int = 10_000
+    #: A bucket gets a weight if it has so many documents and its share of documents differs by so many standard errors
+    #: between the texts that reach some grade and the others.
     least_documents: int = 8
-    steps: int = 250
+    errors: float = 4.0
+    steps: int = 400
     rate: float = 0.05
-    decay: float = 2e-4
+    decay: float = 2e-5
     #: The grade to reach, and the probability from which a document is kept.
     grade: int = 1
     keep: float = 0.5
@@ -50,8 +53,15 @@ def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 def fit(grade: np.ndarray, text: np.ndarray, bucket: np.ndarray, more: np.ndarray, plan: CumulativeLink) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of buckets and dense features, and thresholds, by Adam on the mean log-likelihood."""
-    seen = np.bincount(bucket, minlength=SIZE) >= plan.least_documents
-    place, levels, n = np.cumsum(seen) - 1, int(grade.max()), len(grade)
+    levels, n = int(grade.max()), len(grade)
+    seen = np.zeros(SIZE, bool)
+    total = np.bincount(bucket, minlength=SIZE)
+    for k in range(1, levels + 1):
+        high = grade >= k
+        inside = np.bincount(bucket[high[text]], minlength=SIZE)
+        seen |= telling(inside, total - inside, int(high.sum()), int(n - high.sum()), plan.errors)
+    seen &= total >= plan.least_documents
+    place = np.cumsum(seen) - 1
     use = seen[bucket]
     text, bucket, size = text[use], place[bucket[use]], int(seen.sum())
     reach = np.array([(grade >= k).mean() for k in range(1, levels + 1)]).clip(0.01, 0.99)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import cut, fold_of, table
-from brindle.llm.features import SIZE, Adam, linear_scores, sample, training_rows
+from brindle.llm.features import SIZE, Adam, linear_scores, sample, telling, training_rows
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,9 @@ class NonNegativePU:
     #: A bucket needs so many documents, and a difference of so many standard errors.
     least_documents: int = 8
     errors: float = 4.0
-    steps: int = 250
-    rate: float = 0.03
-    decay: float = 2e-4
+    steps: int = 600
+    rate: float = 0.05
+    decay: float = 2e-5
     beta: float = 0.0
     gamma: float = 1.0
     #: The class prior; if None, the share of toxic labels in the training fold (with one more label that is 5% toxic).
@@ -50,9 +50,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(positive: tuple, unlabelled: tuple, prior: float, plan: NonNegativePU) -> tuple[np.ndarray, float]:
     """Weights of buckets and a bias, from (n, text, bucket) of both samples."""
     in_p, in_u = np.bincount(positive[2], minlength=SIZE), np.bincount(unlabelled[2], minlength=SIZE)
-    both = (in_p + in_u) / (positive[0] + unlabelled[0])
-    error = np.sqrt(both * (1 - both) * (1 / positive[0] + 1 / unlabelled[0])) + 1e-12
-    seen = (in_p + in_u >= plan.least_documents) & (np.abs(in_p / positive[0] - in_u / unlabelled[0]) >= plan.errors * error)
+    seen = (in_p + in_u >= plan.least_documents) & telling(in_p, in_u, positive[0], unlabelled[0], plan.errors)
     place, size = np.cumsum(seen) - 1, int(seen.sum())
 
     def own(n, text, bucket):
