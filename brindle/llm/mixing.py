@@ -66,21 +66,27 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
 
 
 def taken(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with size, source_size, target and taken; docs have doc_id, source, size, and columns to carry along."""
-    own = docs.withColumn("digest", F.md5(F.concat(F.lit(mix.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    at = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    sources = cut(own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    """docs with size, source_size, target and taken; docs have doc_id, source, size, and columns to carry along. Sizes
+    are worked out once for all sums, and the columns to carry are read in the last pass only."""
+    narrow = cut(docs.select("doc_id", "source", "size"))
+    docs = narrow if set(docs.columns) == set(narrow.columns) else docs
+    sources = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     plan = targets(sources, mix)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = cut(plan.withColumn("whole", whole.cast("long")).withColumn("rest", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")).withColumn("buckets", F.ceil(F.sqrt("n"))).drop("n", "place", "weight", "cap"))
     small = plan.count() <= 10_000
     plan = plan.withColumnRenamed("source", "of")
-    bucketed = own.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of")))
-    bucketed = bucketed.drop("of").withColumn("bucket", F.floor(at * F.col("buckets") / F.lit(1 << 32)))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        digest = F.md5(F.concat(F.lit(mix.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        at = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+        df = df.withColumn("digest", digest).join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        return df.withColumn("bucket", F.floor(at * F.col("buckets") / F.lit(1 << 32)))
+
+    sums = bucketed(narrow).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
     sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), before.alias("before"))
-    joined = bucketed.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
+    joined = bucketed(docs).join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
     w = Window.partitionBy("source", "bucket").orderBy("digest", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     done = F.col("before") + F.sum("size").over(w) - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - done))
