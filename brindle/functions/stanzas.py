@@ -35,7 +35,7 @@ def blocks(text: str) -> Iterator[tuple[str, str]]:
         if opened is None:
             at = end + 1
             continue
-        yield text[at:opened].strip(), text[opened + 1 : i].strip("\n")
+        yield text[at:opened].strip(), text[opened + 1 : i]
         at = i + 1
 
 
@@ -51,7 +51,7 @@ def attributes(body: str) -> dict:
         stop = rest.find("}", stop) + 1
         rest = rest[:start] + rest[stop:]
         single = own.strip()
-        if single and "\n" not in single and "{" not in single:
+        if single and "\n" not in own and "{" not in single:
             out[header] = single.split()
         elif single and all(len(x.split()) == 1 and "{" not in x for x in single.split("\n")):
             out[header] = [x.strip() for x in single.split("\n")]
@@ -78,7 +78,7 @@ def objects(text: str) -> Iterator[dict]:
         code = kind.split()[-1:] == ["rule"]
         yield {
             "module": words[0], "kind": kind, "path": path, "partition": parts[0] if path.startswith("/") and len(parts) > 1 else "", "folder": "/".join(parts[1:-1]) if path.startswith("/") else "",
-            "name": parts[-1] if parts else "", "body": body, "attributes": {} if code else attributes(body),
+            "name": parts[-1] if parts else "", "body": body.strip("\n"), "attributes": {} if code else attributes(body),
         }
 
 
