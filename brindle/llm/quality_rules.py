@@ -124,3 +124,24 @@ def keep_good(docs: DataFrame, rules: HostRules | None = None) -> DataFrame:
     full, names = counted(docs)
     found, _, kept = judge(full, hosts, names, rules)
     return found.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w),
+dup AS (SELECT r, sum(n - 1)::BIGINT AS n_dup_lines FROM (SELECT r, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
+win AS (SELECT r, unnest(range(1, len(w) - 6)) AS first_word, unnest(list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7])) AS own FROM w WHERE len(w) >= 8),
+rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(first_word, first_word + 8)) AS pos FROM (SELECT r, first_word, count(*) OVER (PARTITION BY r, own) AS n FROM win) WHERE n > 1) GROUP BY 1),
+c AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 10 * n_words OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words AS strict,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 20 * n_words OR 2 * word_chars < 2.5 * n_words OR word_chars > 24 * n_words AS loose FROM c),
+h AS (SELECT source, count(*)::DOUBLE AS n, count_if(strict)::DOUBLE AS k FROM f GROUP BY 1),
+t AS (SELECT sum(n) AS n, sum(k) AS k, count(*) AS hosts, sum(k / n * k) AS kk, (sum(k) + 0.5) / (sum(n) + 1) AS mean FROM h),
+b AS (SELECT mean, kk / n - (k / n) * (k / n) - mean * (1 - mean) * hosts / n AS between_hosts FROM t),
+s AS (SELECT mean, least(greatest(CASE WHEN between_hosts > 0 THEN mean * (1 - mean) / between_hosts - 1 ELSE 10000.0 END, 2.0), 10000.0) AS strength FROM b),
+v AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND CASE WHEN rate > 0.7 THEN false WHEN rate > 0.4 THEN NOT strict ELSE NOT loose END AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""

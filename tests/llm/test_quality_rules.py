@@ -31,6 +31,16 @@ def test_counts_and_base(spark, folder):
     assert kept["1"] and kept["203"] and not kept["206"] and not kept["200"]
 
 
+def test_query_against_sql(spark, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    names = ["doc_id", *Q.COUNTS, "base_failed", "kept"]
+    want = Counter(con.execute(f"SELECT {', '.join(names)} FROM ({Q.SQL})").fetchall())
+    assert Counter(map(tuple, Q.op2_host_quality_rules(spark, folder).select(names).collect())) == want
+
+
 def test_colliding_hashes_are_counted_again(monkeypatch):
     import numpy as np
 
