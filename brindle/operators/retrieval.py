@@ -178,3 +178,34 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, limit
     fused = fused.join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     rows = first.select("query_id", "doc_id", "rank").union(fused.select("query_id", "doc_id", F.col("rank") + 1_000_000)).join(docs.select("doc_id", "title"), "doc_id")
     return first_titles(rows).where(F.col("rank") <= limit).select("query_id", "doc_id", "rank")
+
+
+def prefix_search(queries: DataFrame, docs: DataFrame, fields: dict[str, float], limit: int = 3) -> DataFrame:
+    """Full-text search by word beginnings over a small index: documents (doc_id and the fields) with words that begin
+    with every term of a question, or with any where none has all; the best limit by weighted words."""
+    asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("asked"))
+    posts = postings(docs, fields)
+    met = posts.join(F.broadcast(asked), F.col("term").startswith(F.col("asked")))
+    per = met.groupBy("query_id", "doc_id", "n_terms", "asked").agg(F.sum("tf").alias("tf"))
+    scored = per.groupBy("query_id", "doc_id", "n_terms").agg(F.sum(F.col("tf") / (F.col("tf") + 1)).alias("score"), F.count("*").alias("met"))
+    full = F.col("met") == F.col("n_terms")
+    any_full = scored.groupBy("query_id").agg(F.max(full).alias("any_full"))
+    kept = scored.join(any_full, "query_id").where(full | ~F.col("any_full"))
+    return ranked(kept.select("query_id", "doc_id", F.round("score", 9).alias("score")), limit)
+
+
+def contains_filter(rows: DataFrame, text: str, columns: list[str], kind: str | None = None) -> DataFrame:
+    """Rows one of whose columns has the text, whatever its case, of one kind if given."""
+    hit = reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(c)), F.lit(text.lower())) for c in columns])
+    return rows.where(hit if kind is None else hit & (F.col("kind") == kind))
+
+
+def hashed_vector(text: Column, dims: int = 64) -> Column:
+    """A bag of hashed words as a vector of length one: a stand-in for an embedding model, for tests and dry runs."""
+    own = words(text)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)) == i)).cast("double"))
+    return normalized(counts)
+
+
+def embedding_input(title: Column, content: Column, most: int = 6000) -> Column:
+    return F.concat(F.lit("search_document: "), F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(F.coalesce(content, F.lit("")), 1, most))

@@ -37,7 +37,7 @@ def test_entities_and_questions(spark):
     assert uri.summary == "Gets or sets the URI." and uri.description == "Returns the URI." and len(uri.examples) == 2 and uri.valid_events == ["HTTP_REQUEST", "HTTP_RESPONSE", "CLIENT_DATA"]
     qa = {(r.question, r.answer) for r in N.entity_questions(rows).collect()}
     assert ("What is the syntax of HTTP::uri?", "HTTP::uri [x]") in qa and ("What does HTTP::host do?", "The host") in qa and len(qa) == 6
-    assert [r.module for r in N.modules(spark.createDataFrame([("http://d/irules/HTTP.html",), ("http://d/irules/Http.html",)], "url string")).collect()] == ["HTTP"]
+    assert [r.module for r in N.modules(spark.createDataFrame([("http://d/refs/HTTP.html",), ("http://d/refs/Http.html",)], "url string")).collect()] == ["HTTP"]
 
 
 def test_manuals_and_options(spark):

@@ -132,9 +132,9 @@ def archive(files, bad=False):
 
 
 def test_archives(spark, tmp_path):
-    (tmp_path / "a.tar.gz").write_bytes(archive({"var/log/ltm": b"two\xff", "var/log/ltm.1": b"x", "config/bigip.conf": b"ltm {}", "other/var/log/ltm": b"more"}))
+    (tmp_path / "a.tar.gz").write_bytes(archive({"var/log/ltm": b"two\xff", "var/log/ltm.1": b"x", "config/main.conf": b"ltm {}", "other/var/log/ltm": b"more"}))
     rows = A.read_archives(spark, str(tmp_path / "a.tar.gz"))
-    assert {(r.member, r.k) for r in rows.select("member", A.kind(F.col("member")).alias("k")).collect()} == {("var/log/ltm", "log"), ("var/log/ltm.1", "log"), ("config/bigip.conf", "config"), ("other/var/log/ltm", "log")}
+    assert {(r.member, r.k) for r in rows.select("member", A.kind(F.col("member")).alias("k")).collect()} == {("var/log/ltm", "log"), ("var/log/ltm.1", "log"), ("config/main.conf", "config"), ("other/var/log/ltm", "log")}
     joined = {r.source_file: r.content for r in A.joined_logs(A.texts(rows)).collect()}
     assert joined["ltm"] == "two�\nmore"
     with pytest.raises(A.UnsafeArchive):
@@ -143,11 +143,11 @@ def test_archives(spark, tmp_path):
 
 
 def test_nested_archives():
-    data = archive({"qkview/manifest.json": b"{}", "qkview/subpackages/m/filesystem/var/log/x.log": b"l", "qkview/subpackages/k8s_1/filesystem/var/log/x.log": b"l", "qkview/subpackages/m/filesystem/var/log/journal/b": b"l"})
-    assert A.is_nested(data) and [m[0] for m in A.members(data, A.wanted_nested)] == ["qkview/manifest.json", "qkview/subpackages/m/filesystem/var/log/x.log"]
-    manifests = {"qkview/manifest.json": {"packages": [{"name": "n", "path": "x/peer-1"}, {"path": "system-manager"}, {"path": "k8s_z"}], "commands": []}, "qkview/subpackages/system-manager/manifest.json": {"commands": [{"name": "show version", "output": "commands/1/out"}, {"name": "nothing"}]}, "qkview/subpackages/peer-1/manifest.json": {"commands": [{"name": "Show  Version | x", "output": "c"}, {"name": "show b", "output": "b"}]}}
-    assert A.subpackage_prefixes(manifests) == ["qkview/subpackages/peer-1/", "qkview/subpackages/system-manager/"]
-    files = {"qkview/subpackages/system-manager/commands/1/out": "v1", "qkview/subpackages/peer-1/c": "v2", "qkview/subpackages/peer-1/b": " "}
+    data = archive({"bundle/manifest.json": b"{}", "bundle/subpackages/m/filesystem/var/log/x.log": b"l", "bundle/subpackages/k8s_1/filesystem/var/log/x.log": b"l", "bundle/subpackages/m/filesystem/var/log/journal/b": b"l"})
+    assert A.is_nested(data) and [m[0] for m in A.members(data, A.wanted_nested)] == ["bundle/manifest.json", "bundle/subpackages/m/filesystem/var/log/x.log"]
+    manifests = {"bundle/manifest.json": {"packages": [{"name": "n", "path": "x/peer-1"}, {"path": "system-manager"}, {"path": "k8s_z"}], "commands": []}, "bundle/subpackages/system-manager/manifest.json": {"commands": [{"name": "show version", "output": "commands/1/out"}, {"name": "nothing"}]}, "bundle/subpackages/peer-1/manifest.json": {"commands": [{"name": "Show  Version | x", "output": "c"}, {"name": "show b", "output": "b"}]}}
+    assert A.subpackage_prefixes(manifests) == ["bundle/subpackages/peer-1/", "bundle/subpackages/system-manager/"]
+    files = {"bundle/subpackages/system-manager/commands/1/out": "v1", "bundle/subpackages/peer-1/c": "v2", "bundle/subpackages/peer-1/b": " "}
     assert A.command_outputs(files, manifests) == {"show version": "v1"}
 
 
