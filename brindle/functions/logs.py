@@ -20,6 +20,8 @@ GRAMMARS = {
     "syslog": rf"^{SHORT_TIME}\s+{HOST}\s+(\w+)\s+{PROCESS}{CODE}(.*)",
     "iso_plain": rf"^{ISO_TIME}\s+{HOST}\s+(\w+)\s+{PROCESS}(.*)",
 }
+#: Groups of each grammar.
+GROUPS = {"iso_structured": 8, "short_structured": 8, "syslog": 8, "iso_plain": 6}
 EVENT = r'^(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+"([^"]*)"\s+"([^"]*)"'
 #: Names of priorities that differ from severities (fixed values).
 PRIORITIES = {"emergency": "emerg", "critical": "crit", "error": "err", "warn": "warning"}
@@ -34,10 +36,6 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _group(line: Column, grammar: str, i: int) -> Column:
-    return F.nullif(F.regexp_extract(line, GRAMMARS[grammar], i), F.lit(""))
-
-
 def _short_time(text: Column, now: Column) -> Column:
     """The year is that of now, or the one before if the day would be later than now; null for no such day."""
     parts = F.split(F.regexp_replace(text, r"\s+", " "), " ")
@@ -57,24 +55,30 @@ def parse_line(line: Column, now: Column) -> Column:
     """A struct ENTRY, or null. The first grammar that matches decides, even if its time is none. now is an argument,
     so that the same log always gives the same rows."""
 
-    def entry(grammar, ts, severity, process, pid, code, own, message):
+    def entry(g, ts, severity, process, pid, code, own, message):
         name = F.lower(severity)
         for k, v in PRIORITIES.items():
             name = F.when(F.lower(severity) == k, v).otherwise(name)
-        fields = [ts.alias("ts"), _group(line, grammar, 2).alias("hostname"), name.alias("severity"), severity_number(name).alias("severity_num"), process.alias("process"), pid.try_cast("int").alias("pid"), code.alias("msg_code"), own.try_cast("int").alias("own_severity"), F.coalesce(message, F.lit("")).alias("message")]
+        fields = [ts.alias("ts"), g(2).alias("hostname"), name.alias("severity"), severity_number(name).alias("severity_num"), process.alias("process"), pid.try_cast("int").alias("pid"), code.alias("msg_code"), own.try_cast("int").alias("own_severity"), F.coalesce(message, F.lit("")).alias("message")]
         return F.when(ts.isNotNull(), F.struct(*fields)).cast(ENTRY)
 
+    def made(name: str):
+        def of(groups: Column) -> Column:
+            g = lambda i: F.nullif(F.get(groups, F.lit(i - 1)), F.lit(""))
+            ts = _iso_time(g(1)) if name.startswith("iso") else _short_time(g(1), now)
+            if name.endswith("structured"):
+                return entry(g, ts, g(5), g(3), g(4), g(6), none, F.coalesce(g(7), F.trim(g(8))))
+            if name == "syslog":
+                return entry(g, ts, g(3), g(4), g(5), g(6), g(7), g(8))
+            return entry(g, ts, g(3), g(4), g(5), none, none, g(6))
+
+        return of
+
+    # A grammar's groups are taken out by one replacement and bound by a lambda, so that each line is matched once.
     none, out = F.lit(None).cast("string"), F.lit(None).cast(ENTRY)
     for name in reversed(list(GRAMMARS)):
-        g = lambda i, name=name: _group(line, name, i)
-        ts = _iso_time(g(1)) if name.startswith("iso") else _short_time(g(1), now)
-        if name.endswith("structured"):
-            made = entry(name, ts, g(5), g(3), g(4), g(6), none, F.coalesce(g(7), F.trim(g(8))))
-        elif name == "syslog":
-            made = entry(name, ts, g(3), g(4), g(5), g(6), g(7), g(8))
-        else:
-            made = entry(name, ts, g(3), g(4), g(5), none, none, g(6))
-        out = F.when(line.rlike(GRAMMARS[name]), made).otherwise(out)
+        groups = F.split(F.regexp_replace(line, GRAMMARS[name], "\u0001".join(f"${i}" for i in range(1, GROUPS[name] + 1))), "\u0001")
+        out = F.when(line.rlike(GRAMMARS[name]), F.get(F.transform(F.array(groups), made(name)), F.lit(0))).otherwise(out)
     return out
 
 
