@@ -75,7 +75,7 @@ def paired_counts(logs: DataFrame, first: Column, second: Column, window_s: floa
     which only the time, the side and the id are sent. Split groups by a key that pairs must share (host, user)."""
     sides = logs.select(*by, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "id", F.coalesce(first, F.lit(False)).alias("a"), F.coalesce(second, F.lit(False)).alias("b")).where("a or b")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "id"])
         a, b = pdf[pdf["a"]], pdf[pdf["b"]]
         pairs = greedy_pairs(a["us"].to_numpy(), b["us"].to_numpy(), window_s * 1e6, a["id"].to_numpy(), b["id"].to_numpy())
