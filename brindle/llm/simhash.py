@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import kernel
 from brindle.llm.common import components, cut, fresh, table
+from brindle.llm.near import Near, near_links, sketched
 
 _SIGNED = np.int64
 
@@ -73,11 +74,12 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(F.col("b").isNotNull() & (F.bit_count(F.expr("fp ^ b")) <= 2)).select(F.col("fp").alias("a"), "b").distinct()
 
 
-def print_components(marked: DataFrame) -> DataFrame:
+def print_components(marked: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint in marked (doc_id, fp): root is the smallest fingerprint
-    of its component, component_id the smallest doc_id among all documents of the component."""
+    of its component, component_id the smallest doc_id among all documents of the component. Components are those of
+    the links (a, b), by default of the fingerprints within the radius."""
     own = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(ball_links(own.select("fp")))
+    joined = components(ball_links(own.select("fp")) if links is None else links)
     rooted = cut(own.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
@@ -88,18 +90,20 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id (nulls last), then the smallest row hash.
+def keep_one(docs: DataFrame, plan: Near | None = None) -> DataFrame:
+    """docs with one document of each component of near copies by five-word shingles (brindle.llm.near): that with the
+    smallest doc_id (nulls last), then the smallest row hash.
 
     Only ids and hashes are compared: they are aggregated by fingerprint, then by component, and the documents to keep
     are found by an equi-join on what identifies a row's content. Of repeated rows one stays.
     """
-    key, h = "__id", "__row"
+    plan, key, h = plan or Near(), "__id", "__row"
     names = {x: fresh(docs.columns, x) for x in (key, h)}
     whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
-    marked = cut(fingerprints(docs.select("doc_id", "text", whole.alias(h)), "fp"))
+    marked = cut(sketched(docs.select("doc_id", "text", whole.alias(h)), plan, ["doc_id", h]))
+    links = near_links(docs, marked, whole, plan)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias(key), F.col(h)))
-    best = marked.groupBy("fp").agg(first.alias("best")).join(print_components(marked), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    best = marked.groupBy("fp").agg(first.alias("best")).join(print_components(marked, links), "fp").groupBy("root").agg(F.min("best").alias("best"))
     best = best.select(F.col(f"best.{key}").alias(names[key]), F.col(f"best.{h}").alias(names[h]))
     kept = docs.join(best, docs["doc_id"].eqNullSafe(best[names[key]]) & (whole == best[names[h]]), "left_semi")
     # Only if an id and row hash come more than once need the kept rows be made distinct.
