@@ -71,20 +71,24 @@ def lengths(docs: DataFrame, fields: list[str], doc_id: str = "doc_id") -> DataF
     return docs.select(F.col(doc_id).alias("doc_id"), reduce(lambda a, b: a + b, [F.size(words(F.coalesce(F.col(f), F.lit("")))) for f in fields]).cast("double").alias("dl"))
 
 
-def bm25(queries: DataFrame, posts: DataFrame, dl: DataFrame, limit: int, conjunctive: bool | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(queries: DataFrame, posts: DataFrame, dl: DataFrame, limit: int, conjunctive: bool | None = None, k1: float = K1, b: float = B, broadcast_terms: int = 200_000) -> DataFrame:
     """(query_id, doc_id, score, rank) for queries (query_id, terms), the best limit of each.
 
     conjunctive: True for documents that have all terms, False for any, None for all, or any where none has all.
-    Document frequencies are counted for the queries' terms only.
+    Document frequencies are counted for the queries' terms only. Up to so many terms of all queries are broadcast, and
+    a document's postings are then in one place, where its scores for all queries are summed; more are joined by shuffle.
     """
     asked = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
-    hit = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    small = asked.count() <= broadcast_terms
+    put = F.broadcast if small else (lambda df: df)
+    hit = posts.join(put(asked.select("term").distinct()), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.greatest(F.lit(FLOOR), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", idf)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(weighted, "term").join(dl, "doc_id").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("met"), F.first("n_terms").alias("n_terms"))
+    placed = hit.repartition("doc_id") if small else hit
+    scored = placed.join(dl, "doc_id").join(put(weighted), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("met"), F.first("n_terms").alias("n_terms"))
     full = F.col("met") == F.col("n_terms")
     if conjunctive is True:
         scored = scored.where(full)

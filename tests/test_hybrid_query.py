@@ -34,3 +34,15 @@ def test_hybrid_search_asks_whole_items(spark, tmp_path):
     rows = QUERIES["hybrid_search"](spark, str(tmp_path)).collect()
     for i, text in ITEMS:
         assert [int(r.doc_id) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == i] == brute(text)
+
+
+def test_terms_joined_by_shuffle_score_alike(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.operators import retrieval as R
+
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string")
+    asked = spark.createDataFrame(ITEMS, "query_id long, text string").select("query_id", R.query_terms(F.col("text")).alias("terms"))
+    for conjunctive in (True, False, None):
+        a, b = (sorted(map(tuple, R.bm25(asked, R.postings(docs, {"text": 1.0}), R.lengths(docs, ["text"]), 10, conjunctive, broadcast_terms=n).collect())) for n in (0, 1000))
+        assert a == b and (a or conjunctive)
