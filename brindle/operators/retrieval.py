@@ -116,11 +116,17 @@ def dot(a: Column, b: Column) -> Column:
 
 def dense(queries: DataFrame, vectors: DataFrame, limit: int, most_queries: int = 1000) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of queries (query_id, q) and vectors (doc_id, v), the best vector of
-    each document. Queries are a set that the caller states; they go along in blocks of at most most_queries."""
-    block = F.broadcast(queries.limit(most_queries).select("query_id", normalized(F.col("q")).alias("q")))
+    each document. All queries are searched: they are counted, and go along in hashed blocks of about most_queries."""
+    n = max(1, -(-queries.count() // most_queries))
+    asked = queries.select("query_id", normalized(F.col("q")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
     own = vectors.select("doc_id", normalized(F.col("v")).alias("v"))
-    best = own.join(block, F.lit(True)).groupBy("query_id", "doc_id").agg(F.round(F.max(dot(F.col("q"), F.col("v"))), 9).alias("score"))
-    return ranked(best, limit)
+
+    def found(i: int) -> DataFrame:
+        block = F.broadcast(asked.where(F.col("block") == i).drop("block"))
+        best = own.join(block, F.lit(True)).groupBy("query_id", "doc_id").agg(F.round(F.max(dot(F.col("q"), F.col("v"))), 9).alias("score"))
+        return ranked(best, limit)
+
+    return reduce(DataFrame.union, [found(i) for i in range(n)])
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60) -> DataFrame:
