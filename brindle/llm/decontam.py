@@ -18,7 +18,7 @@ case, punctuation and line ends don't hide a copy.
 The radius leaves room: at similarity 0.8 two fingerprints differ in about 10 of 64 bits, with a deviation of 3.
 All but the last aggregation happens where the documents are read.
 
-Defined results: null and empty texts and items match nothing; a document that is shorter than an item is one window;
+Defined results: null and empty texts of documents and items match nothing; items with a null id match like any other; a document that is shorter than an item is one window;
 items of fewer than five words are one shingle of all their words; repeated documents or items give one row for each
 pair of ids; empty tables give an empty table; further columns don't disturb.
 """
@@ -80,8 +80,9 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def prepared(items: DataFrame, plan: Windows) -> DataFrame:
-    """item_id, own (words), n and width of each item with a word; cut, as it is used several times."""
-    own = items.select("item_id", words(F.col("text")).alias("own")).where("size(own) > 0")
+    """item_id, item (a key of id and text, as ids may be null), own (words), n and width of each item with a word; cut,
+    as it is used several times."""
+    own = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("own")).where("size(own) > 0")
     return cut(own.withColumn("n", F.size("own")).withColumn("width", F.least(F.lit(plan.width), F.col("n"))))
 
 
@@ -99,16 +100,16 @@ def matches(docs: DataFrame, items: DataFrame, plan: Windows | None = None) -> D
     found = None
     for width in sorted({r["width"] for r in sizes} or {plan.width}):
         own = known.where(F.col("width") == width)
-        full = own.select("item_id", F.col("n").alias("item_n"), "own", _hashes(F.col("own"), width).alias("item_hashes"))
+        full = own.select("item_id", "item", F.col("n").alias("item_n"), "own", _hashes(F.col("own"), width).alias("item_hashes"))
         full = full.withColumn("item_print", _print(F.col("item_hashes"))).withColumn("item_shingles", _texts(F.col("own"), width))
         full = cut(full.withColumn("item_blocks", _blocks(F.col("item_print"), plan.radius)).drop("own"))
-        anchors = full.select("item_id", "item_n", F.explode(F.array_distinct("item_hashes")).alias("hash"))
+        anchors = full.select("item", "item_n", F.explode(F.array_distinct("item_hashes")).alias("hash"))
         long = docs.where(F.size("doc_words") >= width)
         at = long.select("*", F.explode(F.sequence(F.lit(0), F.size("doc_words") - width)).alias("pos"))
         at = at.withColumn("hash", _hash(F.col("doc_words"), F.col("pos"), width)).join(put(anchors), "hash")
         start = F.greatest(F.lit(0), F.least(F.col("pos"), F.size("doc_words") - F.col("item_n")))
-        window = at.select("doc_id", "text_hash", "item_id", start.alias("at"), F.slice("doc_words", start + 1, F.col("item_n")).alias("window"))
-        window = _once(window, "hashes", _hashes(F.col("window"), width)).join(put(full), "item_id")
+        window = at.select("doc_id", "text_hash", "item", start.alias("at"), F.slice("doc_words", start + 1, F.col("item_n")).alias("window"))
+        window = _once(window, "hashes", _hashes(F.col("window"), width)).join(put(full), "item")
         need = plan.similarity / (1 + plan.similarity) * (F.size("hashes") + F.size("item_hashes")) - 1e-9
         window = window.where(F.size(F.filter("hashes", lambda h: F.array_contains("item_hashes", h))) >= need)
         window = _once(window, "print", _print(F.col("hashes"))).where(F.arrays_overlap(_blocks(F.col("print"), plan.radius), F.col("item_blocks")))
