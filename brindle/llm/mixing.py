@@ -3,15 +3,18 @@
 Sources share a budget of words by weight. A source whose share passes its size times the maximum of epochs is clamped
 there, and the excess goes to the others by weight, until no share is above its cap. A source's target is then taken
 in seeded order: as many whole repetitions of every document as fit, and a further, fractional one that runs through
-the documents in the order of a seeded digest until the target's words are reached; the last of them gives part of its
-words.
+the documents in the order of a seeded digest of id and text until the target's words are reached; the last of them
+gives part of its words.
 
-The running sums that this needs are in two levels: documents fall into buckets of the digest's order, about as many
-as the square root of the source's documents, whose sums are added up first; no window holds a whole source.
+Where the fractional repetition of a source ends is found on narrow rows: sums of buckets of the digest's order, about
+as many as the square root of the source's documents, then the one bucket in which the words run out, with equal rows
+summed up first. No window holds a whole source. What comes of it is a row for each source, so that documents get their
+decision where they are read, without a shuffle.
 
 Defined results: null texts have size 0 and are taken 0 times (or stay as they are when rows are repeated); a null
-source is a source of its own, last in order; repeated rows are taken one by one; ties in the digest are ordered by
-size; an empty table gives an empty table.
+source is a source of its own, last in order; null or repeated ids are told apart by their texts; of rows that repeat
+both id and text each is taken alike, and if the words run out among them each gives an equal part; very long texts
+count whole; an empty table gives an empty table; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ class Mix:
     share: float = 1.5
     max_epochs: float = 2.0
     seed: str = "mix-1"
+    #: The sources' plan (some 150 bytes each beside the name) is broadcast up to so many, else joined by shuffle.
+    broadcast_sources: int = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -40,68 +45,99 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), 0).otherwise(F.greatest(n, F.lit(0))).cast("long")
 
 
+def seeded(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 bits of a digest of seed, id and text, by which a source's documents are in order."""
+    whole = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _numbered(df: DataFrame, order: list[Column], parts: int, sums: dict[str, Column]) -> DataFrame:
+    """df (cut) with running sums, each up to and with its row, in an order over all rows: ranges of the order are summed
+    up by themselves, then their totals, which are a row for each of the parts."""
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("part").agg(*[F.sum(c).alias(f"{k}_all") for k, c in sums.items()])
+    totals = totals.select("part", *[F.coalesce(F.sum(f"{k}_all").over(before), F.lit(0)).alias(f"{k}_before") for k in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = ranged.join(F.broadcast(totals), "part")
+    return ranged.select(*df.columns, *[(F.col(f"{k}_before") + F.sum(c).over(own)).alias(k) for k, c in sums.items()])
+
+
 def targets(sources: DataFrame, mix: Mix) -> DataFrame:
-    """sources (source, source_size, n): adds place (order), weight and target. One row for each source.
+    """sources (source, source_size, n): adds place (order), weight, cap and target. One row for each source.
 
-    Each round is an aggregate over the sources that are still free; a round clamps all that pass their cap at the
-    present level, so there are at most as many rounds as sources, and few in practice.
+    In the order in which sources reach their caps, by cap over weight, prefix sums tell the level to which the others
+    can rise when those before are clamped; it is right at the first source that it doesn't fill.
     """
     order = [F.col("source").isNull(), F.col("source")]
-    parts = max(1, min(200, sources.count() // 5000))
-    ranged = cut(sources.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.groupBy("part").agg(F.count("*").alias("rows")).withColumn("offset", before).drop("rows")
-    placed = ranged.join(F.broadcast(offsets), "part").withColumn("place", F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    n, words = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    parts, total = max(1, min(200, n // 5000)), words * mix.share
+    placed = _numbered(sources, order, parts, {"place": F.lit(1)}).withColumn("place", F.col("place") - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in mix.weights]), (F.col("place") % len(mix.weights) + 1).cast("int"))
-    free = cut(placed.select("source", "source_size", "n", "place", weight.alias("weight"), (F.col("source_size") * F.lit(mix.max_epochs)).alias("cap")))
-    total = (free.agg(F.sum("source_size")).first()[0] or 0) * mix.share
-    level, clamped = 0.0, -1
-    while True:  # a source is clamped once its weight times the level reaches its cap; the level only rises
-        full = F.col("weight") * F.lit(level) >= F.col("cap")
-        taken, w, n = free.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
-        if n == clamped or not w:
-            break
-        clamped, level = n, max(level, (total - (taken or 0.0)) / w)
-    return free.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.lit(level)))
+    caps = cut(placed.select("source", "source_size", "n", "place", weight.alias("weight"), (F.col("source_size") * F.lit(mix.max_epochs)).alias("cap")))
+    weights = caps.agg(F.sum("weight")).first()[0] or 0.0
+    filled = _numbered(caps, [F.col("cap") / F.col("weight"), *order], parts, {"caps": F.col("cap"), "weights": F.col("weight")})
+    level = (F.lit(total) - (F.col("caps") - F.col("cap"))) / (F.lit(weights) - F.col("weights") + F.col("weight"))
+    level = filled.select(level.alias("level"), (F.col("cap") / F.col("weight")).alias("full")).where("level <= full").agg(F.min_by("level", "full")).first()[0]
+    return caps.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.lit(level)) if level is not None else F.col("cap"))
 
 
-def taken(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with size, source_size, target and taken; docs have doc_id, source, size, and columns to carry along. Sizes
-    are worked out once for all sums, and the columns to carry are read in the last pass only."""
-    narrow = cut(docs.select("doc_id", "source", "size"))
-    docs = narrow if set(docs.columns) == set(narrow.columns) else docs
+_KEY = ("digest", "size", "doc_id")
+
+
+def plans(narrow: DataFrame, mix: Mix) -> DataFrame:
+    """A row for each source of narrow (cut; doc_id, source, size, digest): source_size, target, whole (repetitions), and
+    of the fractional one the last rows' key (last), how many rows share it (m) and the words they give together (give);
+    key and give are null if it takes all documents or none (then partly is true or false)."""
     sources = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     plan = targets(sources, mix)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = cut(plan.withColumn("whole", whole.cast("long")).withColumn("rest", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")).withColumn("buckets", F.ceil(F.sqrt("n"))).drop("n", "place", "weight", "cap"))
-    small = plan.count() <= 10_000
-    plan = plan.withColumnRenamed("source", "of")
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        digest = F.md5(F.concat(F.lit(mix.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        at = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-        df = df.withColumn("digest", digest).join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        return df.withColumn("bucket", F.floor(at * F.col("buckets") / F.lit(1 << 32)))
-
-    sums = bucketed(narrow).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
-    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), before.alias("before"))
-    joined = bucketed(docs).join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
-    w = Window.partitionBy("source", "bucket").orderBy("digest", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done = F.col("before") + F.sum("size").over(w) - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - done))
-    return joined.withColumn("taken", (F.col("whole") * F.col("size") + part).cast("long")).drop("digest", "of", "b", "bucket", "before", "buckets", "rest")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")
+    plan = cut(plan.withColumn("whole", whole).withColumn("rest", rest).withColumn("buckets", F.ceil(F.sqrt("n"))).select(F.col("source").alias("of"), "source_size", "target", "whole", "rest", "buckets"))
+    small = plan.count() <= mix.broadcast_sources
+    bucket = F.floor(F.col("digest") * (F.col("buckets") / F.lit(float(1 << 60)))).cast("long")
+    dealt = narrow.join(_hint(plan.select("of", "buckets", "rest"), small), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", bucket)
+    sums = dealt.groupBy("of", "rest", "bucket").agg(F.sum("size").alias("words"))
+    up_to = F.sum("words").over(Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = sums.withColumn("done", up_to).where("done - words < rest AND rest <= done").select(F.col("of").alias("at"), F.col("bucket").alias("end"), (F.col("rest") - F.col("done") + F.col("words")).alias("left"))
+    ends = cut(ends)
+    rows = dealt.join(_hint(ends, small), F.col("source").eqNullSafe(F.col("at")) & (F.col("bucket") == F.col("end"))).groupBy("at", "left", *_KEY).agg(F.count("*").alias("m"))
+    words = F.col("m") * F.col("size")
+    done = F.sum(words).over(Window.partitionBy("at").orderBy(*_KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = rows.withColumn("done", done).where(F.col("done") - words < F.col("left")).where(F.col("left") <= F.col("done"))
+    last = last.select("at", F.struct(*_KEY).alias("last"), "m", (F.col("left") - F.col("done") + words).alias("give"))
+    plan = plan.join(last, F.col("of").eqNullSafe(F.col("at")), "left").drop("at", "buckets")
+    return cut(plan.withColumn("partly", F.col("rest") > 0).drop("rest"))
+
+
+def _hint(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def taken(docs: DataFrame, mix: Mix) -> DataFrame:
+    """docs with source_size, target and taken; docs have doc_id, source, size, digest (of seeded()), and columns to
+    carry along. The plan of the sources is broadcast only if they are few enough."""
+    narrow = cut(docs.select("doc_id", "source", "size", "digest"))
+    docs = narrow if set(docs.columns) == set(narrow.columns) else docs
+    plan = plans(narrow, mix)
+    joined = docs.join(_hint(plan, plan.count() <= mix.broadcast_sources), F.col("source").eqNullSafe(F.col("of")))
+    key, size = F.struct(*_KEY), F.col("size")
+    part = F.when(~F.col("partly"), 0).when(F.col("last").isNull() | (key < F.col("last")), size).when(key == F.col("last"), F.floor(F.col("give") / F.col("m"))).otherwise(0)
+    # null ids are equal to each other here: in structs, nulls are ordered as the least value
+    part = F.when(F.col("partly") & F.col("doc_id").isNull() & F.col("last.doc_id").isNull() & (F.col("last.digest") == F.col("digest")) & (F.col("last.size") == size), F.floor(F.col("give") / F.col("m"))).otherwise(part)
+    return joined.withColumn("taken", (F.col("whole") * size + part).cast("long")).drop("of", "last", "m", "give", "partly", "digest")
 
 
 def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return taken(docs, Mix()).select("doc_id", "size", "source_size", "target", "taken")
+    mix = Mix()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), F.col("text"), mix.seed).alias("digest"))
+    return taken(docs, mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+         ('0x' || md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))[1:15])::BIGINT AS digest
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 p AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS place FROM s),
@@ -125,7 +161,7 @@ def mixed_rows(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     are no part of a mix."""
     mix = mix or Mix()
     names = {c: fresh(docs.columns, f"own_{i}") for i, c in enumerate(docs.columns)}
-    row = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`").alias(names[c]) for c in docs.columns]).alias("row"))
+    row = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), F.col("text"), mix.seed).alias("digest"), F.struct(*[F.col(f"`{c}`").alias(names[c]) for c in docs.columns]).alias("row"))
     found = taken(row, mix).where("taken > 0")
     spread = found.withColumn("words", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size))")))
     partial = F.col("words") < F.col("size")
