@@ -17,16 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, which is also where checkpoints go."""
+    """The folder that driver and executors share, which is also where checkpoints go. Only where driver and executors
+    are one process (tests) is a folder made if none is named."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("brindle"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp("brindle"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
 
-    spark.checkpoint.dir is read from the session; a folder of our own is set only where it is unset (tests).
+    See shared_folder().
     Only narrow tables are cut: a checkpoint holds plain rows, and Spark removes it when nothing refers to it.
     """
     shared_folder(df.sparkSession)

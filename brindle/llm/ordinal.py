@@ -9,8 +9,10 @@ Ratings are graded 0, 1, 2, ... from what the labels say: here 0 for quality 0,
 quality 1 and not toxic. Documents are kept if they probably reach grade 1.
 
 Defined results: null and empty texts are scored by the dense features; null ratings and those without a document are
-left out, of repeated ratings the lowest counts; with fewer than two grades every text gets the mean grade and is kept;
-empty tables give empty ones.
+left out, of repeated ratings the lowest counts; if all ratings are of one grade every text gets that grade, and is kept
+if it reaches the grade asked for; without ratings every text gets that grade and is kept; repeated documents get a row
+each, and count in training as often as they come; very long texts are read whole; empty tables give empty ones; further
+columns don't disturb.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     """P(grade >= 1), P(grade >= 2), ... for each score."""
-    return _sigmoid(score[:, None] - thresholds[None])
+    far = np.where(np.isposinf(thresholds), 0.0, 1.0)
+    return np.where(np.isinf(thresholds), far, _sigmoid(score[:, None] - np.where(np.isinf(thresholds), 0.0, thresholds)))
 
 
 def fit(grade: np.ndarray, text: np.ndarray, bucket: np.ndarray, more: np.ndarray, plan: CumulativeLink) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,16 +92,21 @@ def fit(grade: np.ndarray, text: np.ndarray, bucket: np.ndarray, more: np.ndarra
     return weights, theta[size : size + DENSE], cuts
 
 
-def graded(docs: DataFrame, ratings: DataFrame, plan: CumulativeLink | None = None) -> DataFrame:
-    """doc_id, expected_grade, tail_probability, kept of docs (doc_id, text). ratings: doc_id, grade (0, 1, 2, ...)."""
-    plan = plan or CumulativeLink()
+def fitted(docs: DataFrame, ratings: DataFrame, plan: CumulativeLink) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of buckets and of dense features, and thresholds."""
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("y"))
     y, text, bucket, more = training_rows(docs, cut(sample(rated, plan.most)), with_dense=True)
     grade = y.astype(np.int64)
     if len(np.unique(grade)) > 1:
-        weights, dense, cuts = fit(grade, text, bucket, more, plan)
-    else:
-        weights, dense, cuts = np.zeros(SIZE), np.zeros(DENSE), np.full(max(1, int(grade.max(initial=1))), -40.0)
+        return fit(grade, text, bucket, more, plan)
+    own = int(grade[0]) if len(grade) else plan.grade
+    return np.zeros(SIZE), np.zeros(DENSE), np.where(np.arange(1, max(own, plan.grade) + 1) <= own, -np.inf, np.inf)
+
+
+def graded(docs: DataFrame, ratings: DataFrame, plan: CumulativeLink | None = None) -> DataFrame:
+    """doc_id, expected_grade, tail_probability, kept of docs (doc_id, text). ratings: doc_id, grade (0, 1, 2, ...)."""
+    plan = plan or CumulativeLink()
+    weights, dense, cuts = fitted(docs, ratings, plan)
 
     def finish(sums):
         tail = tails(sums, cuts)
@@ -110,7 +118,8 @@ def graded(docs: DataFrame, ratings: DataFrame, plan: CumulativeLink | None = No
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
-    return F.when(quality == 0, 0).when(toxic > 0, 1).when(quality.isNotNull(), 2)
+    """Null if the quality is; a null toxic counts as not toxic."""
+    return F.when(quality == 0, 0).when(quality.isNotNull() & (toxic > 0), 1).when(quality.isNotNull(), 2)
 
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

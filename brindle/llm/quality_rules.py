@@ -8,7 +8,8 @@ none is kept, from a watched one only those that break no rule, and from a trust
 than the slack.
 
 Defined results: null or empty texts have no words and fail; repeated rows are judged one by one, each counting for
-its host; an empty table gives an empty table; further columns are carried along by judge() and don't disturb.
+its host; very long texts are counted whole, alone in a slice; an empty table gives an empty table; further columns are
+carried along by judge() and don't disturb, whatever their names.
 """
 
 from __future__ import annotations

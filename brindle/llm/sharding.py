@@ -10,7 +10,8 @@ is larger than the tolerance allows is split, by the hash of the id. Slots numbe
 through counts of cells: a cell holds about as many rows as there are cells, and a hot cell is divided by the id's hash.
 
 Defined results: a null text has size 1 (no bytes, plus 1) and the crc32 of no bytes; rows that repeat both id and
-text stay together; an empty table gives an empty table; further columns are carried along by sharded().
+text stay together; very long texts count whole; an empty table gives an empty table; further columns are carried along
+by sharded(), but for those with the names of its own; set_aside() renames these first.
 """
 
 from __future__ import annotations
@@ -148,5 +149,16 @@ def sharded(docs: DataFrame, plan: Shards | None = None, drop: tuple[str, ...] =
     return out.select(*[F.col(f"`{c}`") for c in kept if c not in drop], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """docs, with columns that have a name of sharded()'s own under a fresh one (size becomes size_)."""
+    new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    taken = [*new, *docs.columns]
+    names = []
+    for c in docs.columns:
+        names.append(fresh(taken, c) if c.lower() in new else c)
+        taken.append(names[-1])
+    return docs.toDF(*names)
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))

@@ -8,8 +8,9 @@ own ball), so no group is large, however many near copies there are. In a group
 next smaller one, which joins the same components as all pairs would.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; fewer than three words are
-one shingle; repeated rows appear once each; a null doc_id is in a component but is never its smallest id; an empty
-table gives an empty table.
+one shingle; repeated rows appear once each; a null doc_id is in a component but is never its smallest id; very long
+texts are hashed whole, a bounded number of shingles at once; an empty table gives an empty table; further columns
+don't disturb, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,8 +95,10 @@ def keep_one(docs: DataFrame, plan: Near | None = None) -> DataFrame:
     """docs with one document of each component of near copies by five-word shingles (brindle.llm.near): that with the
     smallest doc_id (nulls last), then the smallest row hash.
 
-    Only ids and hashes are compared: they are aggregated by fingerprint, then by component, and the documents to keep
-    are found by an equi-join on what identifies a row's content. Of repeated rows one stays.
+    Only ids and hashes are compared: they are aggregated by fingerprint, then by component. The documents that go are
+    found by an anti-join on what identifies a row's content; their ids and hashes are broadcast if their count allows.
+    Of repeated rows one stays. Null and empty texts are copies of each other; very long texts are compared whole; an
+    empty table gives an empty table; further columns stay, whatever their names.
     """
     plan, key, h = plan or Near(), "__id", "__row"
     names = {x: fresh(docs.columns, x) for x in (key, h)}
@@ -105,7 +108,11 @@ def keep_one(docs: DataFrame, plan: Near | None = None) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias(key), F.col(h)))
     best = marked.groupBy("fp").agg(first.alias("best")).join(print_components(marked, links), "fp").groupBy("root").agg(F.min("best").alias("best"))
     best = best.select(F.col(f"best.{key}").alias(names[key]), F.col(f"best.{h}").alias(names[h]))
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best[names[key]]) & (whole == best[names[h]]), "left_semi")
+    every = marked.select(F.col("doc_id").alias(names[key]), F.col(h).alias(names[h])).distinct()
+    again = best.select(F.col(names[key]).alias("k"), F.col(names[h]).alias("r"))
+    bad = cut(every.join(again, F.col(names[key]).eqNullSafe(F.col("k")) & (F.col(names[h]) == F.col("r")), "left_anti"))
+    bad = F.broadcast(bad) if bad.count() <= plan.broadcast_rows else bad
+    kept = docs.join(bad, docs["doc_id"].eqNullSafe(bad[names[key]]) & (whole == bad[names[h]]), "left_anti")
     # Only if an id and row hash come more than once need the kept rows be made distinct.
     repeated = marked.groupBy("doc_id", h).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

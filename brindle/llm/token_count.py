@@ -5,7 +5,8 @@ token. A text is cut into pre-tokens by the tokenizer's own pattern; those in th
 rest are merged (each distinct one once, in a bounded memo).
 
 Defined results: null and empty texts have no tokens; special strings inside texts are one token each, which is the
-library's default; whole texts are counted, of any length, without truncation.
+library's default; whole texts are counted, of any length, without truncation; repeated rows are counted one by one; an
+empty table gives an empty table; further columns don't disturb.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ class WholeTokens:
     """Counts tokens of byte-level BPE files of the tokenizers library. Made from the file's content, so that workers
     need no path; special strings are those the file declares as added tokens."""
 
-    #: Entries of the memo of merged pre-tokens, after which it starts anew.
+    #: Entries of the memo of merged pre-tokens, after which it starts anew; longer pre-tokens are merged each time.
     MEMO = 200_000
+    MEMO_LENGTH = 64
 
     def __init__(self, content: str, proven: list[str] | None = None):
         import regex
@@ -72,11 +74,13 @@ class WholeTokens:
         return out
 
     def fresh(self) -> None:
-        merge = self.merge
+        merge, longest = self.merge, self.MEMO_LENGTH
 
         class Memo(dict):
             def __missing__(memo, text):
-                n = memo[text] = merge(text)
+                n = merge(text)
+                if len(text) <= longest:
+                    memo[text] = n
                 return n
 
         self.memo = Memo.fromkeys(self.proven, 1)

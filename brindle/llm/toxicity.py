@@ -10,7 +10,9 @@ between the samples by several standard errors get a weight; the others would on
 samples are bounded by parameters; every text is scored, whole.
 
 Defined results: null and empty texts get the score of the bias alone; labels that are null or without a document are
-left out, repeated labels count once; without positives or text all scores are the prior; empty tables give empty ones.
+left out, repeated labels count once; without positives or text all scores are the prior; repeated documents get a row
+each, and count in training as often as they come; very long texts are read whole; empty tables give empty ones; further
+columns don't disturb.
 """
 
 from __future__ import annotations
@@ -82,10 +84,8 @@ def fit(positive: tuple, unlabelled: tuple, prior: float, plan: NonNegativePU) -
     return weights, float(theta[-1])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, plan: NonNegativePU | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of docs (doc_id, text). labels: doc_id, toxic; held_out: a condition on
-    doc_id under which no label is used."""
-    plan = plan or NonNegativePU()
+def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, plan: NonNegativePU) -> tuple[np.ndarray, float]:
+    """Weights of buckets and a bias, from the labels and texts that aren't held out."""
     marks = labels.where(~held_out & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, k = marks.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") > 0, 1)), F.lit(0))).first()
     prior = min(max(plan.prior if plan.prior is not None else (k + 0.05) / (n + 1), 1e-4), 0.9)
@@ -97,6 +97,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, plan: NonNega
         number = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y == 0)) - 1
         part = lambda own: (int(own.sum()), number[text[own[text]]], bucket[own[text]])
         weights, bias = fit(part(y > 0), part(y == 0), prior, plan)
+    return weights, bias
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, plan: NonNegativePU | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of docs (doc_id, text). labels: doc_id, toxic; held_out: a condition on
+    doc_id under which no label is used."""
+    weights, bias = fitted(docs, labels, held_out, plan or NonNegativePU())
 
     def finish(sums):
         score = _sigmoid(sums + bias)

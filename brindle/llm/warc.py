@@ -286,7 +286,7 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
-FROM p LEFT JOIN (SELECT * FROM g) g USING (payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN first END AS refers_to
+FROM (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place FROM p) p LEFT JOIN g USING (payload_digest)
 """
