@@ -8,13 +8,20 @@ same whenever it is made, an ISO timestamp, a type by scheme and content, and di
 Of records with equal payloads of at least a thousand bytes, the one with the largest page id is the response and the
 others revisit it. Payloads aren't gathered by group: groups are sums by digest, and only the target goes back.
 
-Archives are written by Spark's text writer, a record a row, with the two line ends that close a WARC record as the row
-separator; so they can lie in any store that Spark writes to. They hold a bounded number of records and are read back
-whole files at a time, streaming through the records by declared length.
+Archives are written by Spark's text writer, some megabytes of records a row, so they can lie in any store that Spark
+writes to. A file is bounded in bytes (but for a single larger record). With members, each record is a gzip member, as
+readers that jump to a record need it, and an empty member stands between rows; the files' names end as the text writer
+ends them. Without, each file is one gzip stream. Files are read back one at a time, streaming through the records by
+declared length.
+
+Payloads are never cut to disk nor shuffled, but for a join when there are many groups: digests are worked out in a first
+pass, and pages are converted again when they are written. So pages must come in the same order when they are read
+again, as those of files do.
 
 Defined results: null html is an empty payload; a null url becomes urn:page:<id>; blanks in urls are escaped; of rows
 that repeat both page id and payload, one is the response; a null page_id stays null and is never preferred; a record
-that ends before its declared length is kept with WARC-Truncated; empty tables give empty ones.
+that ends before its declared length is kept with WARC-Truncated; very long html is a record like any other, alone in
+its row; empty tables give empty ones; further columns don't disturb, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +31,6 @@ import gzip
 import hashlib
 import io
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,8 +183,8 @@ def arc_segments(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, "archive string, content binary")
 
 
-def converted(segments: DataFrame) -> DataFrame:
-    """The records of ARC files (archive, content) with what WARC asks for; payloads are deflated."""
+def converted(segments: DataFrame, whole: bool = True) -> DataFrame:
+    """The records of ARC files (archive, content) with what WARC asks for; head and payload are null if not whole."""
 
     def rows(archive, content):
         for r in read_arc(content):
@@ -187,7 +193,7 @@ def converted(segments: DataFrame) -> DataFrame:
             info = f["URL"].startswith("filedesc://")
             kind = "warcinfo" if info else "response" if head else "resource"
             page = next((int(x.split(b":", 1)[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"x-page-id:")), None)
-            yield archive, r.offset, page, kind, f["URL"], f["IP-address"], timestamp(f["Archive-date"]), f["Content-type"], hashlib.sha1(payload).hexdigest(), len(payload), r.truncated, head, zlib.compress(payload, 1)
+            yield archive, r.offset, page, kind, f["URL"], f["IP-address"], timestamp(f["Archive-date"]), f["Content-type"], hashlib.sha1(payload).hexdigest(), len(payload), r.truncated, head if whole else None, payload if whole else None
 
     names = [x.split()[0] for x in _RECORDS.split(", ")]
     kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in _RECORDS.split(", ")]
@@ -202,11 +208,12 @@ def converted(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(run, _RECORDS)
 
 
-def deduplicated(records: DataFrame, least_bytes: int = 1000, broadcast_groups: int = 50_000) -> DataFrame:
+def deduplicated(records: DataFrame, least_bytes: int = 1000, broadcast_groups: int = 50_000, narrow: DataFrame | None = None) -> DataFrame:
     """records with target (archive, at, page_id) for those that revisit another. The groups' table is broadcast only up
-    to so many rows of some 100 bytes; otherwise Spark joins by the digest and can split a hot one."""
+    to so many rows of some 100 bytes; otherwise Spark joins by the digest and can split a hot one. narrow: the same
+    records, if it is cheaper to read their digests there."""
     place = F.struct(F.col("page_id"), F.col("archive"), F.col("at"))
-    big = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes))
+    big = (narrow or records).where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes))
     groups = cut(big.groupBy("digest").agg(F.max(place).alias("target"), F.count("*").alias("n")).where("n > 1").drop("n"))
     groups = F.broadcast(groups) if groups.count() <= broadcast_groups else groups
     joined = records.join(groups, "digest", "left")
@@ -214,35 +221,51 @@ def deduplicated(records: DataFrame, least_bytes: int = 1000, broadcast_groups:
     return joined.withColumn("target", F.when(revisit, F.col("target")))
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
+#: Records of so many bytes are one row of the writer, and so many rows one file.
+_ROW, _ROWS = 4 << 20, 16
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+
+
+def write_warc(records: DataFrame, path: str, members: bool = False) -> None:
     """Writes gzipped WARC files under path; records as of deduplicated()."""
 
+    def made(r) -> bytes:
+        fields = {"WARC-Date": r["date"], "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "WARC-Truncated": "length" if r["truncated"] else ""}
+        own, kind, payload = record_id(r["archive"], r["at"]), r["kind"], r["payload"]
+        sha = "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode()
+        if kind == "warcinfo":
+            fields = {"WARC-Date": r["date"], "WARC-Filename": r["archive"], "Content-Type": "application/warc-fields"}
+            payload = b"software: brindle\r\nformat: WARC/1.1 from ARC\r\n"
+        elif r["target"]:
+            t = r["target"]
+            fields |= {"WARC-Payload-Digest": sha, "WARC-Profile": REVISIT, "WARC-Refers-To": record_id(t["archive"], t["at"]), "X-Refers-To-Page-Id": str(t["page_id"]) if t["page_id"] is not None else "", "X-Payload-Length": str(r["payload_bytes"]), "Content-Type": "application/http; msgtype=response"}
+            kind, payload = "revisit", b""
+        else:
+            fields |= {"WARC-Payload-Digest": sha, "Content-Type": "application/http; msgtype=response" if r["head"] else r["mime"]}
+        return warc_record(kind, own, fields, r["head"] + payload)
+
+    def row(out: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(gzip.compress(x + _END, 6, mtime=0) for x in out) if members else _END.join(out)
+        return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["records"])
+
     def run(batches):
         for batch in batches:
             out, size = [], 0
-            for r in (x for part in range(0, batch.num_rows, 256) for x in batch.slice(part, 256).to_pylist()):
-                fields = {"WARC-Date": r["date"], "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "WARC-Truncated": "length" if r["truncated"] else ""}
-                own, kind, payload = record_id(r["archive"], r["at"]), r["kind"], zlib.decompress(r["payload"])
-                sha = "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode()
-                if kind == "warcinfo":
-                    fields = {"WARC-Date": r["date"], "WARC-Filename": r["archive"], "Content-Type": "application/warc-fields"}
-                    payload = b"software: brindle\r\nformat: WARC/1.1 from ARC\r\n"
-                elif r["target"]:
-                    t = r["target"]
-                    fields |= {"WARC-Payload-Digest": sha, "WARC-Profile": REVISIT, "WARC-Refers-To": record_id(t["archive"], t["at"]), "X-Refers-To-Page-Id": str(t["page_id"]) if t["page_id"] is not None else "", "X-Payload-Length": str(r["payload_bytes"]), "Content-Type": "application/http; msgtype=response"}
-                    kind, payload = "revisit", b""
-                else:
-                    fields |= {"WARC-Payload-Digest": sha, "Content-Type": "application/http; msgtype=response" if r["head"] else r["mime"]}
-                out.append(warc_record(kind, own, fields, r["head"] + payload))
+            for i in range(batch.num_rows):
+                out.append(made(batch.slice(i, 1).to_pylist()[0]))
                 size += len(out[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                if size > _ROW:
+                    yield row(out)
                     out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                yield row(out)
 
-    text = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    text = records.mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
+    write = text.write.option("maxRecordsPerFile", _ROWS)
+    if members:
+        write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("iso-8859-1")).text(path)
+    else:
+        write.option("lineSep", _END.decode()).option("compression", "gzip").text(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -276,10 +299,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archives stay in the shared folder, under a new name each time."""
-    records = cut(converted(arc_segments(table(spark, sf_dir, "pages"))))
+    """The archives stay in the shared folder, under a new name each time; who runs it again and again removes them."""
+    segments = arc_segments(table(spark, sf_dir, "pages"))
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(deduplicated(records), path)
+    write_warc(deduplicated(converted(segments), narrow=converted(segments, whole=False)), path, members=True)
     return read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
