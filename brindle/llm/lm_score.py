@@ -12,15 +12,18 @@ by tokens, in two rounds (a short first one, then all texts). Preceding words ar
 frequent words and forms, so that the normalisers of all contexts are a table, worked out once by batched matrix
 products; with them the log-probabilities are normalised exactly.
 
-Scoring. Frequent words' counts go along with the model (their number and length are bounded); the others are joined
-to the counts by an equi-join, from rows that hold a word once for each text. No hot word is ever shuffled.
+Scoring. Frequent words' counts go along with the model (their number and length are bounded, as longer words are known
+by a digest); the others are joined to the counts by an equi-join, from rows that hold a word once for each text. A word
+that is hot is among the frequent ones, whatever its length, and isn't shuffled.
 
 Defined results: null and empty texts have one token, the end; repeated rows are scored one by one and count as often
-in training; an empty table gives an empty table; if no text is in the training fold, all counts are 0.
+in training; very long texts are scored whole, one at a time; an empty table gives an empty table; if no text is in the
+training fold, all counts are 0; further columns don't disturb.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -44,7 +47,6 @@ _SMALL = 13
 class LogBilinear:
     classes: int = 4096  # frequent words that are classes of their own
     known: int = 200_000  # frequent words at most whose counts go along with the model
-    known_bytes: int = 64  # longer words don't
     contexts: int = 50  # frequent words that are context symbols of their own
     dims: int = 16
     noise: int = 64
@@ -80,6 +82,21 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(kernel.filled(texts))
 
 
+#: Words of more bytes are known by their digest.
+LONG_WORD = 64
+
+
+def keyed(distinct: pa.Array) -> pa.Array:
+    """Distinct words, of which long ones are replaced by a blank and their digest: as words have no blanks, these are
+    equal to no other word."""
+    distinct = pa.concat_arrays([distinct.cast(pa.large_string())])
+    long = pc.greater(pc.binary_length(distinct), LONG_WORD)
+    if not pc.any(long).as_py():
+        return distinct
+    digests = [" " + hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=24).hexdigest() for w in distinct.filter(long).to_pylist()]
+    return pc.replace_with_mask(distinct, long, pa.array(digests, pa.large_string()))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts of docs; each batch sends a word once."""
 
@@ -88,7 +105,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for piece in kernel.pieces(batch, limit=3 << 20):
                 flat, _ = kernel.words(lowered(piece.column(0)))
                 v = pc.value_counts(flat)
-                yield pa.RecordBatch.from_arrays([v.field("values").cast(pa.string()), v.field("counts").cast(pa.int64())], names=["word", "c"])
+                yield pa.RecordBatch.from_arrays([keyed(v.field("values")).cast(pa.string()), v.field("counts").cast(pa.int64())], names=["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -122,7 +139,7 @@ class Vocabulary:
         distinct words' numbers, the distinct words and their places; starts counts tokens."""
         flat, starts = kernel.words(texts)
         ids, distinct = kernel.coded(flat)
-        distinct = pa.concat_arrays([distinct.cast(pa.large_string())])
+        distinct = keyed(distinct)
         place, output, symbol = self.look_up(distinct)
         n = len(texts)
         ends = starts[1:] + np.arange(n)
@@ -213,6 +230,19 @@ class Model:
         return t, z.reshape(n, n, n)
 
 
+#: So many tasks' parameters at most are averaged in one place.
+FAN_IN = 32
+
+
+def averaged(frame: DataFrame) -> DataFrame:
+    """The weighted means of parameters (part, weight, params), which are at most FAN_IN rows with part below FAN_IN:
+    level by level, groups of FAN_IN parts become one."""
+    frame = cut(frame)
+    while (frame.agg(F.max("part")).first()[0] or 0) >= FAN_IN:
+        frame = cut(_average(frame.withColumn("group", F.floor(F.col("part") / FAN_IN)), "group").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")))
+    return frame
+
+
 def _average(frame: DataFrame, key: str) -> DataFrame:
     """Means of parameters (bytes of float32) by weight, for each value of key."""
 
@@ -226,7 +256,7 @@ def _average(frame: DataFrame, key: str) -> DataFrame:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, share: np.ndarray) -> Model:
-    """Two rounds of local NCE over docs (text) and averaging; the driver gets the means of at most 32 groups of tasks."""
+    """Two rounds of local NCE over docs (text) and averaging; the driver gets at most FAN_IN means."""
     plan, model = vocabulary.plan, Model(vocabulary, share)
     for first in (True, False):
         own = docs.where(F.pmod(F.xxhash64("text"), F.lit(plan.first_round)) == 0) if first else docs
@@ -248,7 +278,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, share: np.ndarray) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(n)]), pa.array([local.get().astype(np.float32).tobytes()], pa.binary())], names=["part", "weight", "params"])
 
         means = own.select("text").mapInArrow(run, "part long, weight double, params binary")
-        means = _average(means.withColumn("group", F.col("part") % 32), "group").collect()
+        means = averaged(means).collect()
         if means:
             weights = np.array([m["weight"] for m in means])
             model.set(sum(w * np.frombuffer(m["params"], np.float32) for w, m in zip(weights / weights.sum(), means, strict=True)))
@@ -256,16 +286,21 @@ def train(docs: DataFrame, vocabulary: Vocabulary, share: np.ndarray) -> Model:
 
 
 def frequent(counts: DataFrame, plan: LogBilinear) -> pd.DataFrame:
-    """The frequent words by falling count: those from the lowest step of a logarithmic scale of counts from which on
-    there are at most plan.known words. No more rows than that come to the driver, from however many partitions."""
-    short = counts.where(F.octet_length("word") <= plan.known_bytes).withColumn("step", F.floor(F.log2("c") * 32))
-    steps = sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True)  # some thousand at most
-    least, n = None, 0
+    """The plan.known most frequent words, by falling count, ties by word: all of the steps of a logarithmic scale of
+    counts that fit, and the first of the next step. No more rows than that come to the driver, from however many
+    partitions."""
+    stepped = counts.withColumn("step", F.floor(F.log2("c") * 32))
+    steps = sorted(stepped.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True)  # some thousand at most
+    top, room = stepped.limit(0), plan.known
     for r in steps:
-        if (n := n + r["n"]) > plan.known:
+        if r["n"] > room:
+            edge = stepped.where(F.col("step") == r["step"]).orderBy(F.col("c").desc(), "word").limit(room)
+            top = (stepped.where(F.col("step") > r["step"])).union(edge)
             break
-        least = r["step"]
-    top = short.where(F.col("step") >= F.lit(least)).select("word", "c").toPandas()
+        room -= r["n"]
+    else:
+        top = stepped
+    top = top.select("word", "c").toPandas()
     return top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
