@@ -120,6 +120,26 @@ def key_values(text: str) -> dict[str, str]:
     return out
 
 
+def table_rows(text: str) -> list[dict[str, str]]:
+    """Rows of a table that a command line prints: names over a line of dashes, whose groups are the columns' places.
+    Lines after a blank one begin a new table; values that go beyond their column are cut there, but for the last."""
+    out: list[dict[str, str]] = []
+    spans: list[tuple[int, int]] = []
+    names: list[str] = []
+    before = ""
+    for line in text.splitlines():
+        if re.fullmatch(r"\s*-+(\s+-+)*\s*", line):
+            starts = [m.start() for m in re.finditer(r"-+", line)]
+            spans = list(zip(starts, [*starts[1:], 1 << 30], strict=True))
+            names = [before[a:z].strip().lower().replace(" ", "_") for a, z in spans]
+        elif not line.strip():
+            spans = []
+        elif spans:
+            out.append({n: line[a:z].strip() for n, (a, z) in zip(names, spans, strict=True)})
+        before = line
+    return out
+
+
 def stanzas(text: str, header: str) -> list[dict[str, str]]:
     """Records that begin at lines matching header (whose groups are name, or name and value) and end at the next line
     that isn't indented; indented `key value` lines are fields, later ones winning."""

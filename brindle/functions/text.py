@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,10 +78,20 @@ def strip_tags(html: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The five predefined entities, nbsp, and numeric ones of one byte."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("#x27", "'"), ("nbsp", " "), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    """Named entities (those of HTML, with a semicolon) and numeric ones as their characters, each once; others stay."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    valid = lambda code: F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code)
+
+    def shown(token: Column) -> Column:
+        name = F.regexp_extract(token, r"^&(.*);$", 1)
+        decimal, hexadecimal = F.regexp_extract(name, r"^#([0-9]{1,7})$", 1).try_cast("bigint"), F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1)
+        number = F.coalesce(decimal, F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10).try_cast("bigint"))
+        return F.coalesce(F.try_element_at(names, name), char(valid(number)), token)
+
+    tokens = F.regexp_extract_all(text, F.lit(r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&)"), F.lit(1))
+    known = F.transform(tokens, lambda t: F.when(t.startswith("&") & t.endswith(";"), shown(t)).otherwise(t))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(known, "")).otherwise(text)
 
 
 def page_title(html: Column) -> Column:

@@ -23,7 +23,7 @@ def section(text: Column, heading: str) -> Column:
 
 def examples(text: Column) -> Column:
     own = F.coalesce(section(text, "Examples"), F.lit(""))
-    return F.filter(F.transform(F.split(own, r"\n\s*\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(own, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")  # trim by itself would take the place as characters
 
 
 def valid_events(text: Column) -> Column:

@@ -1,23 +1,29 @@
 """Hybrid retrieval: identifiers, BM25 over postings, dense nearest neighbours, and rank fusion.
 
 Postings are a table, so scores are joins and partial sums: a query's terms are few and go along, and only postings of
-these terms are read and grouped. Ranks are explicit columns and every order ends in the id.
+these terms are grouped. Ranks are explicit columns and every order ends in the id.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that say nothing about what is sought (fixed values).
-STOP_WORDS = """a an the is it its be are was were been do does did have has had will would could should may might shall can need
-i me my we our you your he she they them this that these those what which who whom whose and but or nor for so yet of in on at
-to from by with as into through any all some no not only than too very just also both each how when where why
-tell give know show find get let make see please explain describe about regarding related
-reference information provide detail details more there here then now up out if use used
-using uses work works working example examples sample syntax governs govern rfc""".split()  # noqa: SIM905
+STOP_WORDS = [
+    "a", "an", "the", "is", "it", "its", "be", "are", "was", "were", "been", "do", "does", "did", "have", "has", "had", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "i", "me", "my", "we", "our", "you", "your", "he", "she", "they", "them", "this", "that",
+    "these", "those", "what", "which", "who", "whom", "whose", "and", "but", "or", "nor", "for", "so", "yet", "of", "in", "on", "at", "to", "from",
+    "by", "with", "as", "into", "through", "any", "all", "some", "no", "not", "only", "than", "too", "very", "just", "also", "both", "each", "how",
+    "when", "where", "why", "tell", "give", "know", "show", "find", "get", "let", "make", "see", "please", "explain", "describe", "about",
+    "regarding", "related", "reference", "information", "provide", "detail", "details", "more", "there", "here", "then", "now", "up", "out", "if",
+    "use", "used", "using", "uses", "work", "works", "working", "example", "examples", "sample", "syntax", "governs", "govern", "rfc",
+]
 # Forms of identifiers (fixed values).
 ARTICLE = r"(?i)\b(K\d{4,})\b"
 STANDARD = r"(?i)\brfc[\s-]?(\d{1,5})\b"
@@ -106,8 +112,9 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
 
 def normalized(vector: Column) -> Column:
     v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)) + 1e-9
-    return F.transform(v, lambda x: x / norm)
+    norm = lambda own: F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, x: a + x * x)) + 1e-9
+    scaled = lambda own: F.get(F.transform(F.array(norm(own)), lambda n: F.transform(own, lambda x: x / n)), F.lit(0))
+    return F.get(F.transform(F.array(v), scaled), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,19 +123,55 @@ def dot(a: Column, b: Column) -> Column:
 
 def dense(queries: DataFrame, vectors: DataFrame, limit: int, most_queries: int = 1000) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of queries (query_id, q) and vectors (doc_id, v), the best vector of
-    each document. All queries are searched: they are counted, and go along in hashed blocks of about most_queries."""
+    each document. Null vectors and ids are left out.
+
+    All queries are searched, in hashed blocks of about most_queries (or more rows of equal ids), which go along with
+    the tasks. A batch of vectors is one matrix product with the block, and only its best limit documents a query leave
+    it: a document that is among the best of all is among the best of the batch with its best vector.
+    """
     n = max(1, -(-queries.count() // most_queries))
-    asked = queries.select("query_id", normalized(F.col("q")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
-    own = vectors.select("doc_id", normalized(F.col("v")).alias("v"))
+    asked = queries.where(F.col("q").isNotNull()).select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
+    own = vectors.where(F.col("v").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    kinds = {f.name: f.dataType for f in [*queries.schema.fields, *vectors.schema.fields]}
+    schema = T.StructType([T.StructField("query_id", kinds["query_id"]), T.StructField("doc_id", kinds["doc_id"]), T.StructField("score", T.DoubleType())])
 
     def found(i: int) -> DataFrame:
-        block = F.broadcast(asked.where(F.col("block") == i).drop("block"))
-        best = own.join(block, F.lit(True)).groupBy("query_id", "doc_id").agg(F.round(F.max(dot(F.col("q"), F.col("v"))), 9).alias("score"))
+        block = asked.where(F.col("block") == i).orderBy("query_id").toArrow()
+        box = queries.sparkSession.sparkContext.broadcast((block["query_id"].combine_chunks(), _rows(block["q"].combine_chunks())))
+
+        def run(batches):
+            ids, q = box.value
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    yield from _best(ids, q, batch, limit)
+
+        best = own.mapInArrow(run, schema).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
         return ranked(best, limit)
 
     return reduce(DataFrame.union, [found(i) for i in range(n)])
 
 
+def _rows(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of equal length as the rows of a matrix, each of length one."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    rows = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    return rows / (np.sqrt((rows * rows).sum(1, keepdims=True)) + 1e-9)
+
+
+def _best(ids: pa.Array, q: np.ndarray, batch: pa.RecordBatch, limit: int):
+    """For each query the limit best documents of the batch, ties by document; a part of the queries at once."""
+    docs, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(docs)))
+    v = _rows(batch.column(1))[order]
+    for part in range(0, len(q), 256):
+        own = np.round(np.maximum.reduceat(v @ q[part : part + 256].T, starts, axis=0), 9)
+        few = min(limit, len(docs))
+        top = np.argsort(-own, axis=0, kind="stable")[:few]
+        number = np.repeat(np.arange(own.shape[1])[None], few, 0)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(part + number.ravel())), pa.array(docs[top.ravel()], batch.schema.field(0).type), pa.array(own[top.ravel(), number.ravel()])], names=["query_id", "doc_id", "score"])
+
+
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of lists (query_id, doc_id, rank from 1): score is the sum of weight / (k + rank); equal
     scores go by list, then rank."""
@@ -190,12 +233,13 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, limit
     return first_titles(rows).where(F.col("rank") <= limit).select("query_id", "doc_id", "rank")
 
 
-def prefix_search(queries: DataFrame, docs: DataFrame, fields: dict[str, float], limit: int = 3) -> DataFrame:
+def prefix_search(queries: DataFrame, docs: DataFrame, fields: dict[str, float], limit: int = 3, shortest: int = 2) -> DataFrame:
     """Full-text search by word beginnings over a small index: documents (doc_id and the fields) with words that begin
-    with every term of a question, or with any where none has all; the best limit by weighted words."""
-    asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("asked"))
+    with every term of a question, or with any where none has all; the best limit by weighted words. Words meet terms
+    by their first characters (as many as the shortest term may have), so that the join is on equal keys."""
+    asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("asked")).where(F.length("asked") >= shortest)
     posts = postings(docs, fields)
-    met = posts.join(F.broadcast(asked), F.col("term").startswith(F.col("asked")))
+    met = posts.join(asked, (F.substring("term", 1, shortest) == F.substring("asked", 1, shortest)) & F.col("term").startswith(F.col("asked")))
     per = met.groupBy("query_id", "doc_id", "n_terms", "asked").agg(F.sum("tf").alias("tf"))
     scored = per.groupBy("query_id", "doc_id", "n_terms").agg(F.sum(F.col("tf") / (F.col("tf") + 1)).alias("score"), F.count("*").alias("met"))
     full = F.col("met") == F.col("n_terms")
@@ -212,9 +256,10 @@ def contains_filter(rows: DataFrame, text: str, columns: list[str], kind: str |
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:
     """A bag of hashed words as a vector of length one: a stand-in for an embedding model, for tests and dry runs."""
-    own = words(text)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)) == i)).cast("double"))
-    return normalized(counts)
+    places = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
+    counted = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda p: p == i)).cast("double"))
+    # each step is bound by a lambda, so that it is worked out once a text
+    return F.get(F.transform(F.transform(F.array(places), counted), normalized), F.lit(0))
 
 
 def embedding_input(title: Column, content: Column, most: int = 6000) -> Column:

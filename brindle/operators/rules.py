@@ -81,8 +81,8 @@ def paired_counts(logs: DataFrame, first: Column, second: Column, window_s: floa
         pairs = greedy_pairs(a["us"].to_numpy(), b["us"].to_numpy(), window_s * 1e6, a["id"].to_numpy(), b["id"].to_numpy())
         return pd.DataFrame([[*key, len(pairs), len(a), len(b)]], columns=[*by, "pairs", "n_first", "n_second"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sides.schema.fields if f.name in by)
-    return sides.groupBy(*by).applyInPandas(run, f"{kinds}, pairs long, n_first long, n_second long")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in sides.schema.fields if f.name in by]
+    return sides.groupBy(*by).applyInPandas(run, ", ".join([*kinds, "pairs long", "n_first long", "n_second long"]))
 
 
 def pair_candidates(logs: DataFrame, first: Column, second: Column, window_s: int, by: list[str]) -> DataFrame:

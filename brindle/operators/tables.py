@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.lineage import cut
+
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key by order."""
@@ -87,24 +89,26 @@ def outcomes(rows: DataFrame, column: str = "outcome") -> DataFrame:
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int, allowed: Column | None = None) -> DataFrame:
     """(url, depth) reached from seeds (url) over pages (url, links): each url once, at its least depth. A frontier of
     one depth at a time is joined with the pages; pages that aren't there (not fetched) end the way."""
-    from functools import reduce
-
     links = pages.select("url", F.explode("links").alias("to"))
     links = links.where(allowed) if allowed is not None else links
-    levels = [seeds.select("url").distinct().withColumn("depth", F.lit(0))]
-    for d in range(1, depth + 1):
-        seen = reduce(DataFrame.union, levels).select("url")
-        step = levels[-1].join(links, "url").select(F.col("to").alias("url")).distinct()
-        levels.append(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)))
-    return reduce(DataFrame.union, levels)
+    found = reach(links.select(F.col("url").alias("a"), F.col("to").alias("b")), seeds.select(F.col("url").alias("node")), depth)
+    return found.select(F.col("node").alias("url"), F.col("steps").alias("depth"))
 
 
 def reach(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
-    """(node, steps) reached over edges (a, b) from start (node), by recursive SQL in the session."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_reach_edges")
-    start.createOrReplaceTempView("_reach_start")
-    return spark.sql(f"WITH RECURSIVE r(node, steps) AS (SELECT node, 0 FROM _reach_start UNION ALL SELECT e.b, r.steps + 1 FROM r JOIN _reach_edges e ON e.a = r.node WHERE r.steps < {most}) SELECT node, min(steps) AS steps FROM r GROUP BY node")
+    """(node, steps) reached over edges (a, b) from start (node) in at most so many steps, each node at its least.
+    A step joins the last frontier with the edges and leaves out what was seen; it is cut, so that a level's plan
+    doesn't hold the earlier ones. Ends when nothing new is found."""
+    edges = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
+    frontier = cut(start.select("node").where(F.col("node").isNotNull()).distinct().withColumn("steps", F.lit(0)))
+    seen = frontier
+    for steps in range(1, most + 1):
+        step = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(steps)))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen
 
 
 def sessions(rows: DataFrame, key: str, at: str, order: str, gap_s: int) -> DataFrame:

@@ -38,10 +38,10 @@ def config_chain(spark, sf_dir):
     return V.chain(V.pools(texts), V.virtual_servers(texts), "s1").select("source", "member", "server")
 
 
-@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'K' || doc_id ELSE 'K00' || doc_id END AS expected, CASE WHEN found THEN 'K' || doc_id END AS doc_id, CASE WHEN found AND doc_id % 2 = 0 THEN 'exact' WHEN found THEN 'normalised' ELSE 'missing' END AS how FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS found FROM documents WHERE doc_id > 0)")
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'K' || doc_id ELSE 'K00' || doc_id END AS expected, CASE WHEN found THEN 'K' || doc_id END AS doc_id, CASE WHEN found AND doc_id % 2 = 0 THEN 'exact' WHEN found THEN 'normalised' ELSE 'missing' END AS how FROM (SELECT doc_id + 1 AS doc_id, doc_id + 1 IN (SELECT doc_id + 1 FROM labels) AS found FROM documents)")
 def gold_validation(spark, sf_dir):
-    q = table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "K").otherwise("K00"), F.col("doc_id").cast("string")).alias("expected"))
-    return N.validated_gold(q, table(spark, sf_dir, "labels").select(F.concat(F.lit("K"), F.col("doc_id").cast("string")).alias("doc_id")))
+    q = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") + 1).select(F.col("doc_id").cast("string").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "K").otherwise("K00"), F.col("doc_id").cast("string")).alias("expected"))
+    return N.validated_gold(q, table(spark, sf_dir, "labels").select(F.concat(F.lit("K"), (F.col("doc_id") + 1).cast("string")).alias("doc_id")))
 
 
 @query("SELECT page_id, CASE WHEN contains(url, 'page=') THEN 'paged' WHEN contains(url, '/fr/') OR contains(url, '/de/') THEN 'foreign' WHEN contains(url, '/en/') THEN 'english' ELSE 'other' END AS bucket FROM pages")
@@ -52,9 +52,12 @@ def slug_classes(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
 
 
-@query(f"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda w: w NOT IN ({_STOP}) AND w <> '')[1:5], ' ') AS q FROM conversations WHERE NOT contains(text, '::')")
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'HTTP::uri LB::x' ELSE array_to_string(list_filter(regexp_split_to_array(lower(trim(replace(text, '::', ' '))), '\\s+'), lambda w: w NOT IN ({_STOP}) AND w <> '')[1:5], ' ') END AS q FROM conversations")
 def code_queries(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("::"))).select("conv_id", "turn", N.code_query(F.col("text"), R.STOP_WORDS).alias("q"))
+    """Every second turn speaks of commands."""
+    text = F.replace("text", F.lit("::"), F.lit(" "))
+    asked = F.when(F.col("turn") % 2 == 1, F.concat(text, F.lit(" HTTP::uri and LB::x or HTTP::uri?"))).otherwise(text)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.code_query(asked, R.STOP_WORDS).alias("q"))
 
 
 @query("SELECT 'operator' AS kind, op AS token FROM (SELECT unnest(['~', '!', '*', '/', '%', '+', '-', '<<', '>>', '<', '>', '<=', '>=', '==', '!=', 'eq', 'ne', '&', '^', '|', '&&', '||']) AS op) WHERE EXISTS (SELECT 1 FROM documents WHERE contains(text, op))")

@@ -18,28 +18,28 @@ _SCORED = """, s AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((n - d
  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2) """
 
 
-def _asked(spark, sf_dir, n):
-    items = table(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(R.query_terms(F.col("text"))), 1, n).alias("terms"))
+def _asked(spark, sf_dir):
+    """All terms of the items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(R.query_terms(F.col("text"))).alias("terms"))
 
 
-def _lexical(spark, sf_dir, n, limit, conjunctive):
+def _lexical(spark, sf_dir, limit, conjunctive):
     docs = table(spark, sf_dir, "documents")
-    return R.bm25(_asked(spark, sf_dir, n), R.postings(docs, {"text": 1.0}), R.lengths(docs, ["text"]), limit, conjunctive)
+    return R.bm25(_asked(spark, sf_dir), R.postings(docs, {"text": 1.0}), R.lengths(docs, ["text"]), limit, conjunctive)
 
 
-def _q(n):
-    return f"WITH {_POSTS}, a AS (SELECT item_id AS query_id, list_distinct_ordered[1:{n}] AS terms FROM (SELECT item_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_ordered FROM (SELECT item_id, {_TERMS % 'text'} AS t FROM benchmark))), q AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM a)" + _SCORED
+def _q():
+    return f"WITH {_POSTS}, a AS (SELECT item_id AS query_id, list_distinct_ordered AS terms FROM (SELECT item_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_ordered FROM (SELECT item_id, {_TERMS % 'text'} AS t FROM benchmark))), q AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM a)" + _SCORED
 
 
-@query(_q(6) + "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 10")
+@query(_q() + "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return _lexical(spark, sf_dir, 6, 10, False)
+    return _lexical(spark, sf_dir, 10, False)
 
 
-@query(_q(4) + ", f AS (SELECT *, max(met = n_terms) OVER (PARTITION BY query_id) AS any_full FROM s) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f WHERE met = n_terms OR NOT any_full) WHERE rank <= 10")
+@query(_q() + ", f AS (SELECT *, max(met = n_terms) OVER (PARTITION BY query_id) AS any_full FROM s) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f WHERE met = n_terms OR NOT any_full) WHERE rank <= 10")
 def bm25_or_fallback(spark, sf_dir):
-    return _lexical(spark, sf_dir, 4, 10, None)
+    return _lexical(spark, sf_dir, 10, None)
 
 
 _N = "n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9)) AS v FROM embeddings)"
@@ -68,16 +68,17 @@ def l2_norm(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    """Two ranked lists: documents by length near the item's number, and by id."""
+    """Two ranked lists: documents dealt to all items by their ids, by length and by another order."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    own = docs.select("doc_id", "n_chars", F.substring("text", 1, 20).alias("title"), (F.col("doc_id") % 40).alias("query_id")).join(items.select(F.col("item_id").alias("query_id")), "query_id")
+    n = items.agg(F.max("item_id") + 1).first()[0]
+    own = docs.select("doc_id", "n_chars", F.substring_index("text", "\n", 1).alias("title"), (F.col("doc_id") % n).alias("query_id")).join(items.select(F.col("item_id").alias("query_id")), "query_id")
     rank = lambda *o: F.row_number().over(Window.partitionBy("query_id").orderBy(*o, "doc_id"))
     a = own.withColumn("rank", rank(F.desc("n_chars"))).where("rank <= 30")
     b = own.withColumn("rank", rank(F.col("doc_id") * 7919 % 101)).where("rank <= 20")
     return a, b
 
 
-_LISTS = """WITH o AS (SELECT doc_id, n_chars, substr(text, 1, 20) AS title, doc_id % 40 AS query_id FROM documents WHERE doc_id % 40 IN (SELECT item_id FROM benchmark)),
+_LISTS = """WITH o AS (SELECT doc_id, n_chars, string_split(text, chr(10))[1] AS title, doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS query_id FROM documents WHERE doc_id % (SELECT max(item_id) + 1 FROM benchmark) IN (SELECT item_id FROM benchmark)),
  a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS rank FROM o) WHERE rank <= 30), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id * 7919 % 101, doc_id) AS rank FROM o) WHERE rank <= 20)"""
 
 
@@ -100,13 +101,15 @@ def title_dedupe(spark, sf_dir):
     return R.first_titles(_lists(spark, sf_dir)[0]).select("query_id", "doc_id", "rank")
 
 
-_M = _LISTS + ", g AS (SELECT query_id, doc_id FROM o WHERE doc_id % 3 = 0), m AS (SELECT query_id, min(rank) AS first_rank FROM g LEFT JOIN a USING (query_id, doc_id) GROUP BY 1), r AS (SELECT query_id, first_rank, CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit5, CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit10, coalesce(1.0::DOUBLE / first_rank, 0.0) AS rr FROM m)"
+_M = _LISTS + ", g AS (SELECT query_id, doc_id FROM o JOIN labels USING (doc_id)), m AS (SELECT query_id, min(rank) AS first_rank FROM g LEFT JOIN a USING (query_id, doc_id) GROUP BY 1), r AS (SELECT query_id, first_rank, CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit5, CASE WHEN first_rank <= 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit10, coalesce(1.0::DOUBLE / first_rank, 0.0) AS rr FROM m)"
 
 
 def _metrics(spark, sf_dir):
     a, _ = _lists(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id").where("doc_id % 3 = 0")
-    gold = docs.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    n = items.agg(F.max("query_id") + 1).first()[0]
+    rated = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select((F.col("doc_id") % n).alias("query_id"), "doc_id")
+    gold = rated.join(items, "query_id", "left_semi")
     return E.retrieval_metrics(a.select("query_id", "doc_id", "rank"), gold)
 
 
@@ -155,6 +158,14 @@ def score_stats(spark, sf_dir):
     return E.pass_stats(table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 > 0, F.col("n_chars") % 100 / 100.0).alias("s")), "s")
 
 
+@query()
+def hybrid_vector_search(spark, sf_dir):
+    """As hybrid_search, with vectors: bags of hashed words stand in for an embedding."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("keywords"), F.col("text").alias("content"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", R.hashed_vector(F.col("text")).alias("q"))
+    return R.hybrid(asked, docs, docs.select("doc_id", R.hashed_vector(F.col("content")).alias("v")), 10)
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     """The benchmark's items as questions over all documents, titles being first lines."""

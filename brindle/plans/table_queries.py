@@ -24,14 +24,14 @@ def upsert_latest(spark, sf_dir):
     return T.latest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "ts", "event_type")
 
 
-@query("""WITH c AS (SELECT doc_id, md5(text) AS hash, source FROM documents WHERE doc_id % 3 > 0), i AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(text || '!') ELSE md5(text) END AS hash, 'new' AS source FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH c AS (SELECT doc_id, md5(text) AS hash, source FROM documents WHERE doc_id % 3 > 0), i AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(text || '!') ELSE md5(text) END AS hash, 'new' AS source FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
  SELECT doc_id, coalesce(CASE WHEN take THEN ih ELSE ch END) AS hash, CASE WHEN take THEN isrc ELSE csrc END AS source, CASE WHEN take AND old THEN 'updated' WHEN take THEN 'inserted' WHEN new THEN 'unchanged' ELSE 'kept' END AS outcome
  FROM (SELECT coalesce(c.doc_id, i.doc_id) AS doc_id, c.hash AS ch, i.hash AS ih, c.source AS csrc, i.source AS isrc, c.doc_id IS NOT NULL AS old, i.doc_id IS NOT NULL AS new, i.doc_id IS NOT NULL AND NOT coalesce(c.hash = i.hash, false) AS take FROM c FULL JOIN i ON c.doc_id = i.doc_id)""")
 def document_upsert(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     t = F.lit("2024-01-01").cast("timestamp_ntz")
     old = d.where("doc_id % 3 > 0").select("doc_id", F.md5("text").alias("hash"), "source", t.alias("created_at"), t.alias("last_fetched"))
-    new = d.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("hash"), F.lit("new").alias("source"))
+    new = d.where("doc_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("hash"), F.lit("new").alias("source"))
     return T.upsert(old, new, "doc_id", now(), "hash").select("doc_id", "hash", "source", "outcome")
 
 
@@ -54,11 +54,11 @@ def incremental_reuse(spark, sf_dir):
     return T.reuse_vectors(d, index)
 
 
-@query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation), r(node, steps) AS (SELECT 24, 0 UNION ALL SELECT e.b, r.steps + 1 FROM r JOIN e ON e.a = r.node WHERE r.steps < 6) SELECT node, min(steps) AS steps FROM r GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation), r(node, steps) AS (SELECT 24, 0 UNION SELECT e.b, r.steps + 1 FROM r JOIN e ON e.a = r.node WHERE r.steps < 12) SELECT node, min(steps) AS steps FROM r GROUP BY 1")
 def event_graph_reach(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     edges = n.select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("b")).union(n.select("n_nationkey", "n_regionkey"))
-    return T.reach(edges, spark.sql("SELECT 24 AS node"), 6)
+    return T.reach(edges, spark.sql("SELECT 24 AS node"))
 
 
 @query("SELECT event_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 14400000000 THEN 1 ELSE 0 END AS new FROM events)")
@@ -118,12 +118,14 @@ def tag_quotas(spark, sf_dir):
     return Q.quotas(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 10, 35)
 
 
-@query("SELECT b.item_id, true AS ok, count(d.doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN ['A::one', 'B::two'] WHEN 2 THEN ['B::two'] ELSE [] END AS missing FROM documents")
 def grounding_subset(spark, sf_dir):
-    """Items by the documents that hold them whole; items are few (checked by Spark's own broadcast limit)."""
-    b, d = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = d.join(b, F.contains("text", "item")).groupBy("item_id").agg(F.count("*").alias("docs"))
-    return b.join(hit, "item_id", "left").select("item_id", F.lit(True).alias("ok"), F.coalesce("docs", F.lit(0)).alias("docs"))
+    """Commands of questions and answers that the context, or the list of known ones, lacks."""
+    k = F.col("doc_id") % 3
+    context = F.when(k == 0, "A::one and B::two").when(k == 1, "none").otherwise("B::two, A::one")
+    known = F.when(k == 2, F.array(F.lit("A::one"))).otherwise(F.expr("cast(array() as array<string>)"))
+    missing = Q.ungrounded(F.lit("What is A::one?"), F.lit("It calls B::two."), context, known)
+    return table(spark, sf_dir, "documents").select("doc_id", missing.alias("missing"))
 
 
 @query("SELECT r_name AS partition, list_sort(list(n_name)) AS apps FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -137,10 +139,10 @@ def ingest_outcomes(spark, sf_dir):
     return T.outcomes(T.upsert_by_url(d.where("doc_id % 3 > 0"), d))
 
 
-@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 AND (o_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE (o_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_returnflag = 'R')")
 def resume_anti(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    tasks = table(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey")).where("o_orderkey % 2 = 0").select("l_orderkey", "l_linenumber", "o_orderkey")
+    tasks = table(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderkey")
     return T.unanswered(tasks, li.where("l_returnflag = 'R'"), ["l_orderkey", "l_linenumber"]).select("o_orderkey", "l_linenumber")
 
 

@@ -57,9 +57,11 @@ def capital_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][A-Z0-9_]+)\b"), F.lit(1)))).alias("capitals"))
 
 
-@query("SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), ''), '') AS title FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>.*?\\S.*?</title>')")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' & b' WHEN 2 THEN '' ELSE p_brand END AS title FROM part")
 def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.col("html").rlike(r"(?is)<title[^>]*>.*?\S.*?</title>")).select("page_id", X.page_title(F.col("html")).alias("title"))
+    """Pages with a title, with an empty one and a heading, with neither, and with both."""
+    html = F.expr("""CASE p_partkey % 4 WHEN 0 THEN concat('<title>\n ', p_name, ' </title>x') WHEN 1 THEN concat('<title> </title><H1 class=x>', p_type, ' <i>&amp;</i> b</H1>') WHEN 2 THEN '<p>none</p>' ELSE concat('<h1>h</h1><TITLE>', p_brand, '</TITLE>') END""")
+    return table(spark, sf_dir, "part").select("p_partkey", X.page_title(html).alias("title"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS link FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,8 +23,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 
 def by_url(docs: DataFrame) -> DataFrame:
-    """One document of each url: that of the first file."""
-    return docs.groupBy("url").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "url"]), "file").alias("d")).select("url", "d.*")
+    """One document of each url: that of the last file in order of names."""
+    return docs.groupBy("url").agg(F.max_by(F.struct(*[c for c in docs.columns if c != "url"]), "file").alias("d")).select("url", "d.*")
 
 
 def whole_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
@@ -90,10 +92,17 @@ def bug_pages(pages: DataFrame, fetch_log: DataFrame, least: int = 1000) -> Data
     heads = F.regexp_extract_all("html", F.lit(r"(?is)<h[23][^>]*>(.*?)</h[23]>"), F.lit(1))
     bodies = F.regexp_extract_all("html", F.lit(r"(?is)</h[23]>(.*?)(?=<h[23]|$)"), F.lit(1))
     rows = pages.where(F.length("html") >= least).join(seen, "bug_id", "left")
-    rows = rows.select("bug_id", X.page_title(F.col("html")).alias("title"), field("Severity").alias("severity"), F.map_from_arrays(F.transform(heads, X.strip_tags), F.slice(F.transform(bodies, X.strip_tags), F.lit(1), F.size(heads))).alias("sections"), refs.alias("refs"), F.coalesce(F.substring("ts", 1, 10), F.date_format("mtime", "yyyy-MM-dd")).alias("fetched"))
+    rows = rows.select("bug_id", X.page_title(F.col("html")).alias("title"), field("Severity").alias("severity"), _merged(F.transform(heads, X.strip_tags), F.slice(F.transform(bodies, X.strip_tags), F.lit(1), F.size(heads))).alias("sections"), refs.alias("refs"), F.coalesce(F.substring("ts", 1, 10), F.date_format("mtime", "yyyy-MM-dd")).alias("fetched"))
     return rows.where((F.size("sections") > 0) | F.col("severity").isNotNull())
 
 
+def _merged(heads: Column, bodies: Column) -> Column:
+    """A map of bodies by heading; bodies under equal headings are joined by a line end."""
+    both = F.arrays_zip(heads.alias("h"), bodies.alias("b"))
+    of = lambda h: F.array_join(F.transform(F.filter(both, lambda x: x["h"] == h), lambda x: x["b"]), "\n")
+    return F.map_from_entries(F.transform(F.array_distinct(heads), lambda h: F.struct(h, of(h))))
+
+
 def bug_content(bug_id: Column, severity: Column, sections: Column, refs: Column) -> Column:
     """Labelled meta line, sections in order of their names, and references, a blank line apart."""
     named = F.transform(F.array_sort(F.map_entries(sections)), lambda e: F.concat(F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" "))), F.lit(": "), e["value"]))
@@ -123,6 +132,30 @@ def sitemap_locations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
 
 
+def sitemaps(files: DataFrame, wanted: str = "") -> DataFrame:
+    """(file, url) of sitemap files (path, content), gunzipped if they are gzipped, each url once; wanted: a pattern
+    that urls have."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py() or b""
+                text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([text], pa.string())], names=["file", "text"])
+
+    texts = files.select("path", "content").mapInArrow(run, "file string, text string")
+    urls = texts.select("file", F.explode(sitemap_locations(F.col("text"))).alias("url")).select("file", X.unescape(F.col("url")).alias("url"))
+    return urls.where(F.col("url").rlike(wanted)).dropDuplicates(["url"])
+
+
+def contents(html: Column) -> Column:
+    """array<struct<url, title>> of the links of a table of contents: those with a title, each url once, in order."""
+    found = F.regexp_extract_all(html, F.lit(r'(?is)(<a\s[^>]*?href="[^"#]+[^"]*"[^>]*>.*?</a>)'), F.lit(1))
+    made = F.transform(found, lambda a: F.struct(F.regexp_extract(a, r'(?is)href="([^"#]+)', 1).alias("url"), X.strip_tags(a).alias("title")))
+    full = F.filter(made, lambda x: x["title"] != "")
+    return F.filter(full, lambda x, i: F.array_position(F.transform(full, lambda y: y["url"]), x["url"]) == i + 1)
+
+
 def robots_rules(text: str, agent: str = "*") -> tuple[list[tuple[str, bool]], float | None]:
     """(path prefix, allowed) rules and crawl delay for an agent; a group of its name goes before that of *."""
     groups: dict[str, list] = {}

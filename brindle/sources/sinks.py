@@ -8,6 +8,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.lineage import cut
+
 #: What becomes of an earlier result.
 MODES = {"overwrite": "overwrite", "skip": "ignore", "fail": "errorifexists"}
 
@@ -62,6 +64,11 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """rows with a batch number, size rows each, in order within spread parts of the data."""
-    w = Window.partitionBy(F.spark_partition_id()).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size)).withColumn("part", F.spark_partition_id())
+    """rows with a batch number, size rows each, in order; the last may be smaller. Rows are numbered in ranges of the
+    order, whose counts are added up first; order should tell all rows apart."""
+    ranged = cut(rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return placed.withColumn("batch", F.floor(at / size)).drop("_part", "_before")
