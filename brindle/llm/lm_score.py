@@ -6,11 +6,15 @@ ASCII, closing punctuation), and its probability is that of its class times its
 token has a probability, and all of them sum to one, however large the vocabulary is.
 
 Model. The representation predicted for the next word is the sum of the three preceding words' vectors, each times
-its position's matrix; its product with a class's vector plus a bias is the class's score. Training is stochastic NCE
-over all training tokens: each task runs through its share from the same start, and the tasks' parameters are averaged
-by tokens, in two rounds (a short first one, then all texts). Preceding words are seen through a small alphabet of
-frequent words and forms, so that the normalisers of all contexts are a table, worked out once by batched matrix
-products; with them the log-probabilities are normalised exactly.
+its position's matrix; its product with an output's vector plus a bias is the output's score. Every output word has a
+context vector of its own too, and the number of these words grows with the corpus (as the root of its distinct words);
+rarer words are seen as contexts by their form. Training is stochastic NCE over all training tokens: each task runs
+through its share from the same start, and the tasks' parameters are averaged by tokens, in two rounds (a short first
+one, then all texts).
+
+Normalisation. Outputs stand in groups of consecutive ranks, as large as there are groups. An output's probability is
+its group's among all groups (which have vectors of their own, trained by NCE on the same representation) times its own
+within the group; both are exactly normalised softmaxes, worked out by matrix products for a batch of tokens.
 
 Scoring. Frequent words' counts go along with the model (their number and length are bounded, as longer words are known
 by a digest); the others are joined to the counts by an equi-join, from rows that hold a word once for each text. A word
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -47,12 +51,15 @@ _SMALL = 13
 class LogBilinear:
     classes: int = 4096  # frequent words that are classes of their own
     known: int = 200_000  # frequent words at most whose counts go along with the model
-    contexts: int = 50  # frequent words that are context symbols of their own
+    contexts: int = 4096  # frequent words that are context symbols of their own
+    growth: int = 2  # classes and contexts are at least so many times the root of the number of distinct words
+    group: int = 128  # outputs in a group, at least
     dims: int = 16
     noise: int = 64
     batch: int = 2048
     rate: float = 0.15
     seed: int = 7
+    group_noise: int = 16
     #: The first round takes one in so many texts of the training fold, by hash; the second takes all.
     first_round: int = 16
 
@@ -154,7 +161,9 @@ class Vocabulary:
 
 
 class Model:
-    """Parameters: R (symbols), C (a matrix for each position), Q and b (outputs)."""
+    """Parameters: R (symbols), C (a matrix for each position), Q and b (outputs), G and g (groups of outputs)."""
+
+    NAMES = ("R", "C", "Q", "b", "G", "g")
 
     def __init__(self, vocabulary: Vocabulary, share: np.ndarray):
         plan, rng = vocabulary.plan, np.random.default_rng(vocabulary.plan.seed)
@@ -163,13 +172,17 @@ class Model:
         self.C = np.stack([np.eye(plan.dims)] * 3).astype(np.float32) / 2
         self.Q = rng.normal(0, 0.1, (vocabulary.outputs, plan.dims)).astype(np.float32)
         self.b = np.log(share).astype(np.float32)
+        self.size = max(plan.group, math.isqrt(max(0, len(share) - 1)) + 1)
+        self.group_share = np.add.reduceat(share, np.arange(0, len(share), self.size))
+        self.G = rng.normal(0, 0.1, (len(self.group_share), plan.dims)).astype(np.float32)
+        self.g = np.log(self.group_share).astype(np.float32)
 
     def get(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.R, self.C, self.Q, self.b)])
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
 
     def set(self, flat: np.ndarray) -> Model:
         at = 0
-        for name in ("R", "C", "Q", "b"):
+        for name in self.NAMES:
             old = getattr(self, name)
             setattr(self, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
@@ -178,56 +191,108 @@ class Model:
     def trainer(self, plan: LogBilinear, seed: int):
         """A function that takes classes and contexts and makes NCE steps with Adagrad."""
         rng = np.random.default_rng(seed)
-        ladder = np.cumsum(self.share)
-        log_kq = np.log(plan.noise * self.share).astype(np.float32)
-        past = {k: np.full_like(getattr(self, k), 1e-2 if k in "Qb" else 1.0) for k in ("R", "C", "Q", "b")}
-        eye = np.eye(len(self.R), dtype=np.float32)
-        squash = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        past = {k: np.full_like(getattr(self, k), START[k]) for k in self.NAMES}
+
+        def squash(x, times=np.float32(1)):
+            """times / (1 + exp(-x)), in the place of x."""
+            np.exp(np.minimum(np.negative(x, out=x), 80, out=x), out=x)
+            x += 1
+            return np.divide(times, x, out=x)
 
         def ascend(name, grad, rows=slice(None)):
             past[name][rows] += grad * grad
             getattr(self, name)[rows] += plan.rate * grad / np.sqrt(past[name][rows])
 
+        def contrast(vectors, biases, share, draws):
+            """The NCE step of one set of outputs: takes targets and representations, gives the latter's gradient."""
+            ladder, log_kq = np.cumsum(share), np.log(draws * share).astype(np.float32)
+            # each distinct noise class stands for its expected number among the noise draws
+            times = (draws * share / -np.expm1(draws * np.log1p(-np.minimum(share, 0.999999)))).astype(np.float32)
+
+            def one(y, r):
+                Q, b, n = getattr(self, vectors), getattr(self, biases), len(y)
+                noise = np.unique(np.minimum(np.searchsorted(ladder, rng.random(draws) * ladder[-1]), len(share) - 1))
+                q = Q[y]
+                up = 1 - squash(np.einsum("ij,ij->i", r, q) + (b - log_kq)[y])
+                down = r @ Q[noise].T
+                down += (b - log_kq)[noise]
+                down = squash(down, -times[noise])
+                dr = up[:, None] * q
+                dr += down @ Q[noise]
+                keys, order, starts = runs(np.concatenate([y, noise]))
+                ascend(vectors, np.add.reduceat(np.concatenate([up[:, None] * r, down.T @ r])[order], starts, axis=0) / n, keys)
+                ascend(biases, np.add.reduceat(np.concatenate([up, down.sum(0)])[order], starts) / n, keys)
+                return dr
+
+            return one
+
+        words, groups = contrast("Q", "b", self.share, plan.noise), contrast("G", "g", self.group_share, plan.group_noise)
+
         def step(y, before):
-            noise = np.unique(np.minimum(np.searchsorted(ladder, rng.random(plan.noise) * ladder[-1]), len(self.share) - 1))
-            seen = [eye[c] for c in before]
-            vectors = [e @ self.R for e in seen]
+            vectors = [self.R[c] for c in before]
             r = sum(v @ c for v, c in zip(vectors, self.C, strict=True))
-            q = self.Q[y]
-            up = 1 - squash((r * q).sum(1) + self.b[y] - log_kq[y])
-            # each distinct noise class stands for its expected number among the noise draws
-            times = plan.noise * self.share[noise] / -np.expm1(plan.noise * np.log1p(-np.minimum(self.share[noise], 0.999999)))
-            down = -squash(r @ self.Q[noise].T + self.b[noise] - log_kq[noise]) * times.astype(np.float32)
-            dr = up[:, None] * q + down @ self.Q[noise]
-            rows, inverse = np.unique(np.concatenate([y, noise]), return_inverse=True)
-            dq = np.zeros((len(rows), plan.dims), np.float32)
-            np.add.at(dq, inverse[: len(y)], up[:, None] * r)
-            dq[inverse[len(y) :]] += down.T @ r
-            db = np.bincount(inverse, np.concatenate([up, down.sum(0)]), len(rows)).astype(np.float32)
-            n = len(y)
-            ascend("Q", dq / n, rows)
-            ascend("b", db / n, rows)
-            dR, dC = np.zeros_like(self.R), np.zeros_like(self.C)
-            for j in range(3):
-                dR += seen[j].T @ (dr @ self.C[j].T)
-                dC[j] = vectors[j].T @ dr
-            ascend("R", dR / n)
-            ascend("C", dC / n)
+            dr = words(y, r)
+            if len(self.G) > 1:
+                dr += groups(y // self.size, r)
+            keys, order, starts = runs(before.ravel())
+            dR = np.add.reduceat(np.concatenate([dr @ c.T for c in self.C])[order], starts, axis=0)
+            dC = np.stack([v.T @ dr for v in vectors])
+            ascend("R", dR / len(y), keys)
+            ascend("C", dC / len(y))
 
         return step
 
+    def positions(self) -> np.ndarray:
+        """Vectors of each position's symbols."""
+        return np.stack([self.R @ c for c in self.C])
+
+    def log_probability(self, r: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probabilities of outputs y after representations r."""
+        of = y // self.size
+        p = _softmax_at(r @ self.G.T + self.g, of) if len(self.G) > 1 else np.zeros(len(y), np.float32)
+        order = np.argsort(of.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(self.G) + 1))
+        r, at = r[order], y[order] - of[order] * self.size
+        own = np.empty(len(y), np.float32)
+        for k in range(len(self.G)):
+            s, o = slice(cuts[k], cuts[k + 1]), slice(k * self.size, (k + 1) * self.size)
+            if s.start < s.stop:
+                own[s] = _softmax_at(r[s] @ self.Q[o].T + self.b[o], at[s])
+        p[order] += own
+        return p.astype(np.float64)
+
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of each position's symbols, and log normalisers of all contexts, by batched matrix products."""
-        t = np.stack([self.R @ c for c in self.C])
-        n = len(self.R)
-        pair = (t[0][:, None] + t[1][None]).reshape(-1, t.shape[2])
-        z = np.empty((len(pair), n), np.float32)
-        for j in range(n):
-            for at in range(0, len(pair), 1024):
-                s = (pair[at : at + 1024] + t[2][j]) @ self.Q.T + self.b
-                top = s.max(1)
-                z[at : at + 1024, j] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        return t, z.reshape(n, n, n)
+        """Of a model with a single group and few symbols: vectors of each position's symbols, and log normalisers of
+        all contexts."""
+        t = self.positions()
+        z = np.empty((len(self.R),) * 3, np.float32)
+        for i in range(len(self.R)):
+            s = (t[0][i] + t[1][:, None] + t[2][None]) @ self.Q.T + self.b
+            top = s.max(2)
+            z[i] = top + np.log(np.exp(s - top[..., None]).sum(2))
+        return t, z
+
+
+#: Where Adagrad's sums of squares begin.
+START = {"R": 1e-6, "C": 1.0, "Q": 1e-4, "b": 1e-2, "G": 1e-4, "g": 1e-2}
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the order that puts equal keys together, and where each one's run starts."""
+    small = keys.astype(np.uint16 if keys.max() < 1 << 16 else np.uint32)  # the former are sorted by digits
+    order = np.argsort(small, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], order, starts
+
+
+def _softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability of one entry of each row of scores, which are overwritten."""
+    picked = s[np.arange(len(s)), at]
+    top = s.max(1)
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return picked - top - np.log(s.sum(1))
 
 
 #: So many tasks' parameters at most are averaged in one place.
@@ -235,10 +300,10 @@ FAN_IN = 32
 
 
 def averaged(frame: DataFrame) -> DataFrame:
-    """The weighted means of parameters (part, weight, params), which are at most FAN_IN rows with part below FAN_IN:
-    level by level, groups of FAN_IN parts become one."""
+    """The weighted mean of parameters (part, weight, params), one row or none: level by level, groups of FAN_IN parts
+    become one."""
     frame = cut(frame)
-    while (frame.agg(F.max("part")).first()[0] or 0) >= FAN_IN:
+    while (frame.agg(F.max("part")).first()[0] or 0) > 0:
         frame = cut(_average(frame.withColumn("group", F.floor(F.col("part") / FAN_IN)), "group").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")))
     return frame
 
@@ -256,7 +321,7 @@ def _average(frame: DataFrame, key: str) -> DataFrame:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, share: np.ndarray) -> Model:
-    """Two rounds of local NCE over docs (text) and averaging; the driver gets at most FAN_IN means."""
+    """Two rounds of local NCE over docs (text) and averaging; the driver gets one mean a round."""
     plan, model = vocabulary.plan, Model(vocabulary, share)
     for first in (True, False):
         own = docs.where(F.pmod(F.xxhash64("text"), F.lit(plan.first_round)) == 0) if first else docs
@@ -314,6 +379,8 @@ def scored(docs: DataFrame, held_out, plan: LogBilinear | None = None) -> DataFr
     ends = training.count()
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = total + ends, distinct + (ends > 0)
+    size = min(plan.known, max(plan.classes, plan.growth * math.isqrt(distinct)))
+    plan = replace(plan, classes=size, contexts=max(plan.contexts, size))
     top = frequent(counts, plan)
     vocabulary = Vocabulary(top["word"].tolist(), top["c"].to_numpy(np.int64), ends, plan)
 
@@ -337,28 +404,26 @@ def scored(docs: DataFrame, held_out, plan: LogBilinear | None = None) -> DataFr
     share = np.concatenate([vocabulary.counts[: vocabulary.own], [ends], in_form[0]]) + 0.5
     share = share / share.sum()
     model = train(training.select("text"), vocabulary, share)
-    t, z = model.table()
     base_log = math.log10(n + 0.5 * (v + 1))
     form_log = np.log10(in_form[0] + 0.5 * (in_form[1] + 1))
     c = vocabulary.counts
     base_of = np.log10(c + 0.5) - base_log
     rank = np.arange(len(c))
     within = np.where(rank < vocabulary.own, 0.0, np.log10(c + 0.5) - form_log[np.maximum(vocabulary.output - vocabulary.own - 1, 0)])
-    box = spark.sparkContext.broadcast((vocabulary, t, z, model.Q, model.b, base_of, within, form_log))
+    box = spark.sparkContext.broadcast((vocabulary, model, model.positions(), base_of, within, form_log))
     end_log = math.log10(ends + 0.5) - base_log
 
     def run(batches):
         from pyspark import TaskContext
 
-        row, (vocabulary, t, z, Q, b, base_of, within, form_log) = TaskContext.get().partitionId() << 40, box.value
+        row, (vocabulary, model, t, base_of, within, form_log) = TaskContext.get().partitionId() << 40, box.value
         for batch in batches:
             for piece in kernel.pieces(batch, limit=2 << 20):
                 y, before, ids, distinct, place, starts, begins = vocabulary.tokens(lowered(piece.column("text")))
-                p = (b[y] - z[before[0], before[1], before[2]]).astype(np.float64)
-                for at in range(0, len(y), 65536):
-                    s = slice(at, at + 65536)
-                    r = t[0][before[0][s]] + t[1][before[1][s]] + t[2][before[2][s]]
-                    p[s] += np.einsum("ij,ij->i", r, Q[y[s]])
+                p = np.empty(len(y))
+                for at in range(0, len(y), 16384):
+                    s = slice(at, at + 16384)
+                    p[s] = model.log_probability(t[0][before[0][s]] + t[1][before[1][s]] + t[2][before[2][s]], y[s])
                 score = kernel.per_text(p / math.log(10), begins)
                 at = place[ids]
                 known, safe = at >= 0, np.maximum(at, 0)
