@@ -1,23 +1,26 @@
-"""Near copies by shingles of five words: candidates by MinHash, similarity verified on whole shingle sets.
-
-Two texts are near copies if the Jaccard similarity of their sets of shingles is 0.8 or more. A text's sketch holds
-the minima of 64 hash functions over its shingles, in 16 bands of four. Texts that share a band are candidates; those
-at similarity 0.8 share none with a probability of 2 in 10,000, more similar ones more rarely. Of a band's texts, all
-pairs are candidates if they are at most `crowd`, else each is paired with four of them that hashes choose. Where such a
-band still holds texts of different components after that, its texts meet anew on each of their 64 minima alone, with
-the same two rules. So what many texts share (a template, a passage) crowds some minima, and near copies among these
-texts meet on what they have beyond it. If what is shared makes up g of two texts' shingles together, and their
-similarity is 0.8, they meet on no such minimum with a probability of (0.2 + g) to the 64th power: one in a million at
-0.6, 1 in 1,000 at 0.7, 4 in 100 at 0.75; these can be lost unless a text that hashes choose joins them. Candidates go
-whose sizes or sketches can't belong to near copies (a sketch agrees in half its places at least but for one pair in
-ten million at 0.8); the others are decided exactly, on 64-bit hashes of all their shingles.
-
-Verification is in two rounds: first one candidate of each text, then the candidates that these links leave in
-different components. So a large group of near copies costs about one verification a text.
+"""Near copies by shingles of five words: SimHash ball hashing, then an exact join on prefixes, similarity verified on
+whole shingle sets. No pair is lost and no group is capped.
+
+Two texts are near copies if the Jaccard similarity of their sets of shingles is 0.8 or more. Links come in three steps,
+each verified on 64-bit hashes of all shingles:
+
+1. Texts with equal SimHash fingerprints, and fingerprints that ball hashing finds (as in op5), are linked.
+2. All texts' shingles are put in one order, common ones last. Near copies share a shingle among the first
+   n - ceil(0.8 n) + 1 of both, and where the first such is, enough shingles are left in both for the similarity. Of the
+   texts that share such a shingle, each is tried with the one that has the fewest before it, so the least of its own;
+   this makes large groups of near copies one component by a verification a text.
+3. Of the shingles whose texts still lie in several components, all pairs of different components that sizes and
+   positions allow are verified.
+
+So the components are those of brute force, but for collisions of 64-bit hashes. What is common is told by one text in
+`order_share`; this order is the same for all texts, and another one would give the same links with more or less work.
+What grows with the square of a group's size is only the pairs of step 3: texts in different components whose rare
+shingles still allow a similarity of 0.8.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,13 +38,15 @@ from brindle.llm.common import components, cut
 class Near:
     width: int = 5
     similarity: float = 0.8
+    #: Hash functions of a sketch, in bands (no step uses them; sketches estimate similarity).
     bands: int = 16
     rows: int = 4
-    #: Candidates agree in this share of their sketches at least.
-    sketch: float = 0.5
-    #: Up to so many texts in a band, all their pairs are candidates.
+    #: One text in so many tells which shingles are common.
+    order_share: int = 16
+    #: At most so many shingles are put last; the rest is in the order of hashes.
+    order_most: int = 2_000_000
+    #: Kept for callers; groups of any size are joined without a cap.
     crowd: int = 16
-    #: In larger bands, each text is paired with so many of them, and with those it shares a rarer minimum with.
     hubs: int = 4
     seed: int = 42
     #: The dropped documents (an id and a hash each) are broadcast up to so many, else joined by shuffle.
@@ -104,41 +109,93 @@ def _key(own: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(own), 7)).astype(np.int64)) if own else 0
 
 
+def common(docs: DataFrame, plan: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that come in several of the sampled texts, and how many texts each."""
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(plan.order_share)) == 0).select("text").dropDuplicates()
+    make = lambda own, seen: (shingles(own, plan, seen).view(np.int64),)
+    counts = _run(texts, [("hashes", T.ArrayType(T.LongType()))], make, []).select(F.explode("hashes").alias("h")).groupBy("h").count()
+    counts, least = cut(counts.where("count > 1")), 2
+    while counts.where(F.col("count") >= least).count() > plan.order_most:
+        least *= 2
+    found = counts.where(F.col("count") >= least).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], plan: Near) -> np.ndarray:
+    """The first shingles in the common order, of which near copies share one."""
+    h, n = often
+    rank = np.zeros(len(hashes), np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+        rank = np.where(h[at] == hashes, n[at], 0)
+    most = len(hashes) - math.ceil(plan.similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, rank))[:most]]
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles: the bits that over half of the hashes have, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def sketched(docs: DataFrame, plan: Near, keep: list[str]) -> DataFrame:
-    """fp (equal for texts with equal words), n (distinct shingles) and sketch (null without words) of each text."""
+    """fp (equal for texts with equal words), n (distinct shingles), print (SimHash) and prefix of each text."""
+    often = docs.sparkSession.sparkContext.broadcast(common(docs, plan))
 
     def make(own, seen):
         h = shingles(own, plan, seen)
-        return _key(own), len(h), sketch(h, plan) if len(h) else None
+        return _key(own), len(h), print_of(h), prefix(h, often.value, plan).view(np.int64)
+
+    return _run(docs, [("fp", T.LongType()), ("n", T.IntegerType()), ("print", T.LongType()), ("prefix", T.ArrayType(T.LongType()))], make, keep)
 
-    return _run(docs, [("fp", T.LongType()), ("n", T.IntegerType()), ("sketch", T.ArrayType(T.IntegerType()))], make, keep)
 
+def ball_pairs(own: DataFrame, plan: Near) -> DataFrame:
+    """Pairs (a, b) of texts with equal or neighbouring SimHash fingerprints; a fingerprint's texts meet its least one."""
+    from brindle.llm.simhash import ball_links
 
-def bands(own: DataFrame, plan: Near) -> DataFrame:
-    """(fp, i, key): the bands of each of own (fp, sketch)."""
-    band = lambda i: F.xxhash64(F.lit(i), *[F.get("sketch", F.lit(i * plan.rows + j)) for j in range(plan.rows)])
-    return own.where("sketch IS NOT NULL").select("fp", F.posexplode(F.array(*[band(i) for i in range(plan.bands)])).alias("i", "key"))
+    some = own.where("n > 0")
+    heads = cut(some.groupBy("print").agg(F.min("fp").alias("head")))
+    head = lambda x: heads.select(F.col("print").alias(x), F.col("head").alias(f"head_{x}"))
+    near = ball_links(heads.select(F.col("print").alias("fp"))).join(head("a"), "a").join(head("b"), "b").select("head_a", "head_b")
+    same = some.join(heads, "print").where("fp <> head").select("fp", "head")
+    return near.union(same).toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def paired(keyed: DataFrame, plan: Near) -> tuple[DataFrame, DataFrame]:
-    """Of keyed (fp, i, key): the pairs (a, b), a > b, of fp with equal keys, and the rows whose key more than `crowd`
-    fp have, of which only the pairs with the hubs are given."""
-    hub = lambda i: F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("h"), "fp"))["fp"]
-    met = cut(keyed.groupBy("key").agg(F.count("*").alias("m"), F.array(*[hub(i) for i in range(plan.hubs)]).alias("hubs")).where("m > 1"))
-    few = keyed.join(met.where(F.col("m") <= plan.crowd).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    few = few.select("fps", F.explode("fps").alias("a")).select("a", F.explode(F.filter("fps", lambda x: x < F.col("a"))).alias("b"))
-    crowded = keyed.join(met.where(F.col("m") > plan.crowd).select("key", "hubs"), "key")
-    many = crowded.select("fp", F.explode("hubs").alias("hub"))
-    many = many.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).where("a <> b")
-    return few.union(many).distinct(), crowded.select("fp", "i", "key")
+def keyed_rows(marked: DataFrame, plan: Near) -> DataFrame:
+    """(fp, n, key, pos): the prefixes' shingles that several different texts have in theirs."""
+    every = marked.where("n > 0").select("fp", "n", F.posexplode("prefix").alias("pos", "key"))
+    several = cut(every.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key"))
+    several = F.broadcast(several) if several.count() <= plan.broadcast_rows else several
+    return every.join(several, "key").select("fp", "n", "key", "pos").distinct()
 
 
-def likely(pairs: DataFrame, own: DataFrame, plan: Near) -> DataFrame:
-    """(a, b, alike): those of the pairs whose sizes and sketches allow near copies, with their sketches' agreement."""
-    side = lambda x: own.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(plan.similarity) - 1e-9)
-    alike = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-    return joined.select("a", "b", alike.alias("alike")).where(F.col("alike") >= plan.sketch * plan.bands * plan.rows)
+def possible(plan: Near, a: str, b: str) -> Column:
+    """Whether sizes and positions of a shared shingle allow near copies, if none is shared before it."""
+    n_a, n_b, t = F.col(f"n{a}"), F.col(f"n{b}"), plan.similarity
+    left = F.least(n_a - F.col(f"pos{a}"), n_b - F.col(f"pos{b}"))
+    return (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(t) - 1e-6) & (left >= (n_a + n_b) * F.lit(t / (1 + t)) - 1e-6)
+
+
+def chosen(keyed: DataFrame, plan: Near) -> DataFrame:
+    """A pair (a, b) for each text that may have near copies: of the texts that share its most frequent shingle, with that
+    which has fewest shingles before it, so least of its own."""
+    hub = F.min(F.struct("pos", F.xxhash64("key", "fp").alias("h"), F.col("fp").alias("hub"), F.col("n").alias("n_hub"))).alias("x")
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("m"), hub).select("key", "m", "x.hub", "x.n_hub", F.col("x.pos").alias("pos_hub"))
+    met = keyed.join(hubs, "key").where((F.col("fp") != F.col("hub")) & possible(plan, "", "_hub"))
+    best = met.groupBy("fp").agg(F.max_by("hub", F.struct("m", "key")).alias("hub"))
+    return best.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b"))
+
+
+def across(keyed: DataFrame, root: DataFrame, plan: Near) -> DataFrame:
+    """All pairs (a, b) of different components that share a shingle of their prefixes and may be near copies."""
+    mixed = cut(_mixed(_rooted(keyed, root, "fp"), plan))
+    side = lambda x: mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "pos", "root_fp")])
+    met = side("a").join(side("b"), "key").where((F.col("fp_a") > F.col("fp_b")) & (F.col("root_fp_a") != F.col("root_fp_b")) & possible(plan, "_a", "_b"))
+    return met.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
 def _rooted(df: DataFrame, root: DataFrame, fp: str) -> DataFrame:
@@ -147,14 +204,9 @@ def _rooted(df: DataFrame, root: DataFrame, fp: str) -> DataFrame:
     return df.join(at, fp, "left").withColumn(f"root_{fp}", F.coalesce(f"root_{fp}", fp))
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """The pairs that lie in different components."""
-    return _rooted(_rooted(pairs, root, "a"), root, "b").where("root_a <> root_b").drop("root_a", "root_b")
-
-
-def _mixed(keyed: DataFrame, root: DataFrame) -> DataFrame:
+def _mixed(keyed: DataFrame, plan: Near) -> DataFrame:
     """Rows of keyed whose key is found in more than one component; the others have nothing left to link."""
-    several = _rooted(keyed, root, "fp").groupBy("key").agg(F.min("root_fp").alias("low"), F.max("root_fp").alias("high")).where("low <> high")
+    several = keyed.groupBy("key").agg(F.min("root_fp").alias("low"), F.max("root_fp").alias("high")).where("low <> high")
     return keyed.join(several.select("key"), "key", "left_semi")
 
 
@@ -164,31 +216,24 @@ def _similar(plan: Near) -> Column:
 
 
 def near_links(docs: DataFrame, marked: DataFrame, row: Column, plan: Near) -> DataFrame:
-    """Links (a, b) that join the near copies of docs. marked has doc_id, __row (row, a hash of a document's row), fp, n
-    and sketch of each document."""
-    own = cut(marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    met, crowd = paired(bands(own, plan), plan)
-    pairs, crowd = cut(likely(met, own, plan)), cut(crowd)
+    """Links (a, b) that join the near copies of docs. marked has doc_id, __row (row, a hash of a document's row), fp, n,
+    print and prefix of each document."""
+    own = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("print").alias("print"))
+    keyed = cut(keyed_rows(marked, plan))
 
     def hashed(p: DataFrame) -> DataFrame:
         """The shingle hashes of the texts in the pairs p."""
         asked = p.select(F.col("a").alias("fp")).union(p.select("b")).distinct()
-        one = marked.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("__row").alias("__met")).select("__met").distinct()
+        one = marked.select("fp", "__row").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("__row").alias("__met")).select("__met").distinct()
         texts = docs.select("text", row.alias("__row")).join(one, F.col("__row") == F.col("__met"), "left_semi").select("text").dropDuplicates()
         make = lambda own, seen: (_key(own), shingles(own, plan, seen).view(np.int64))
         return cut(_run(texts, [("fp", T.LongType()), ("hashes", T.ArrayType(T.LongType()))], make, []))
 
-    def verified(p: DataFrame, sets: DataFrame) -> DataFrame:
+    def verified(p: DataFrame) -> DataFrame:
+        sets = hashed(p)
         side = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}"))
         return cut(p.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_similar(plan)).select("a", "b").distinct())
 
-    sets = hashed(pairs)
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-    links = verified(best, sets)
-    rest = pairs.join(best, ["a", "b"], "left_anti")
-    links = links.union(verified(_apart(rest, components(links)), sets))
-    root = components(links)
-    left = cut(_mixed(crowd, root).select("fp").distinct().join(own, "fp"))
-    single = left.select("fp", F.posexplode("sketch").alias("i", "least")).select("fp", "i", F.xxhash64("i", "least").alias("key"))
-    pairs = cut(likely(_apart(paired(single, plan)[0], root), own, plan))
-    return links if pairs.isEmpty() else links.union(verified(pairs, hashed(pairs)))
+    links = verified(cut(ball_pairs(own, plan).union(chosen(keyed, plan)).distinct()))
+    pairs = cut(across(keyed, components(links), plan))
+    return links if pairs.isEmpty() else links.union(verified(pairs))
