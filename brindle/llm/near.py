@@ -167,9 +167,9 @@ def ball_pairs(own: DataFrame, plan: Near) -> DataFrame:
 
 def keyed_rows(marked: DataFrame, plan: Near) -> DataFrame:
     """(fp, n, key, pos): the prefixes' shingles that several different texts have in theirs."""
-    every = marked.where("n > 0").select("fp", "n", F.posexplode("prefix").alias("pos", "key"))
-    several = cut(every.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key"))
-    several = F.broadcast(several) if several.count() <= plan.broadcast_rows else several
+    every = marked.where("n > 0").select("fp", "n", F.posexplode("prefix").alias("pos", "key")).repartition("key")
+    own = F.struct("fp", "n", "pos")  # all columns, so that both sides of the join read one exchange
+    several = every.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low.fp <> high.fp").select("key")
     return every.join(several, "key").select("fp", "n", "key", "pos").distinct()
 
 
@@ -220,12 +220,14 @@ def near_links(docs: DataFrame, marked: DataFrame, row: Column, plan: Near) -> D
     print and prefix of each document."""
     own = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("print").alias("print"))
     keyed = cut(keyed_rows(marked, plan))
+    repeated = not marked.groupBy("__row").count().where("count > 1").isEmpty()
 
     def hashed(p: DataFrame) -> DataFrame:
         """The shingle hashes of the texts in the pairs p."""
         asked = p.select(F.col("a").alias("fp")).union(p.select("b")).distinct()
         one = marked.select("fp", "__row").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("__row").alias("__met")).select("__met").distinct()
-        texts = docs.select("text", row.alias("__row")).join(one, F.col("__row") == F.col("__met"), "left_semi").select("text").dropDuplicates()
+        texts = docs.select("text", row.alias("__row")).join(one, F.col("__row") == F.col("__met"), "left_semi").select("text")
+        texts = texts.dropDuplicates() if repeated else texts
         make = lambda own, seen: (_key(own), shingles(own, plan, seen).view(np.int64))
         return cut(_run(texts, [("fp", T.LongType()), ("hashes", T.ArrayType(T.LongType()))], make, []))
 
