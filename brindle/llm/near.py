@@ -96,7 +96,7 @@ def _run(docs: DataFrame, fields: list[tuple[str, T.DataType]], make, keep: list
             for piece in kernel.pieces(batch):
                 seen: dict = {}
                 rows = [make(_own(t), seen) for t in pc.fill_null(piece.column("text"), "").to_pylist()]
-                kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.ArrayType(T.IntegerType()): pa.list_(pa.int32()), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
+                kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BinaryType(): pa.binary(), T.ArrayType(T.IntegerType()): pa.list_(pa.int32()), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
                 made = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([piece.column(f.name) for f in kept] + made, names=[f.name for f in kept] + [name for name, _ in fields])
 
@@ -142,15 +142,40 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def bins(hashes: np.ndarray) -> bytes:
+    """How many hashes begin with each value of so many bits that some two hashes share a value; 255 is 255 or more."""
+    k = max(1, (len(hashes) // 2).bit_length())
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> int:
+    """A bound of how many hashes two sets share, from their bins."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    x, y = (np.where(v == 255, 1 << 40, v).reshape(min(len(x), len(y)), -1).sum(1) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
+def bounded(pairs: DataFrame, plan: Near) -> DataFrame:
+    """The pairs (a, b) that bins_a and bins_b don't exclude; n_a and n_b are the numbers of shingles."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            most = np.fromiter(map(most_common, batch.column("bins_a").to_pylist(), batch.column("bins_b").to_pylist()), np.int64, len(n))
+            yield batch.select(["a", "b"]).filter(pa.array(most >= plan.similarity * (n - most) - 1e-9))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def sketched(docs: DataFrame, plan: Near, keep: list[str]) -> DataFrame:
-    """fp (equal for texts with equal words), n (distinct shingles), print (SimHash) and prefix of each text."""
+    """fp (equal for texts with equal words), n (distinct shingles), print (SimHash), bins and prefix of each text."""
     often = docs.sparkSession.sparkContext.broadcast(common(docs, plan))
 
     def make(own, seen):
         h = shingles(own, plan, seen)
-        return _key(own), len(h), print_of(h), prefix(h, often.value, plan).view(np.int64)
+        return _key(own), len(h), print_of(h), bins(h), prefix(h, often.value, plan).view(np.int64)
 
-    return _run(docs, [("fp", T.LongType()), ("n", T.IntegerType()), ("print", T.LongType()), ("prefix", T.ArrayType(T.LongType()))], make, keep)
+    return _run(docs, [("fp", T.LongType()), ("n", T.IntegerType()), ("print", T.LongType()), ("bins", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))], make, keep)
 
 
 def ball_pairs(own: DataFrame, plan: Near) -> DataFrame:
@@ -217,24 +242,40 @@ def _similar(plan: Near) -> Column:
 
 def near_links(docs: DataFrame, marked: DataFrame, row: Column, plan: Near) -> DataFrame:
     """Links (a, b) that join the near copies of docs. marked has doc_id, __row (row, a hash of a document's row), fp, n,
-    print and prefix of each document."""
+    print, bins and prefix of each document."""
     own = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("print").alias("print"))
     keyed = cut(keyed_rows(marked, plan))
     repeated = not marked.groupBy("__row").count().where("count > 1").isEmpty()
 
+    def few(df: DataFrame) -> DataFrame:
+        """df, to be broadcast if its count allows."""
+        return F.broadcast(df) if df.count() <= plan.broadcast_rows else df
+
+    def asked(p: DataFrame, *values: str) -> DataFrame:
+        """fp and the values of one row of each text in the pairs p."""
+        fps = few(cut(p.select(F.col("a").alias("fp")).union(p.select("b")).distinct()))
+        one = marked.select("fp", *values).join(fps, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*values)).alias("one"))
+        return cut(one.select("fp", "one.*"))
+
+    def likely(p: DataFrame) -> DataFrame:
+        """The pairs p that bins don't exclude."""
+        known = asked(p, "n", "bins")
+        side = lambda x: known.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
+        return cut(bounded(p.select("a", "b").join(side("a"), "a").join(side("b"), "b"), plan))
+
     def hashed(p: DataFrame) -> DataFrame:
-        """The shingle hashes of the texts in the pairs p."""
-        asked = p.select(F.col("a").alias("fp")).union(p.select("b")).distinct()
-        one = marked.select("fp", "__row").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("__row").alias("__met")).select("__met").distinct()
+        """The shingle hashes of the texts in the pairs p. Texts are shuffled only if rows repeat or too many are asked for."""
+        one = few(asked(p, "__row").select(F.col("__row").alias("__met")).distinct())
         texts = docs.select("text", row.alias("__row")).join(one, F.col("__row") == F.col("__met"), "left_semi").select("text")
         texts = texts.dropDuplicates() if repeated else texts
         make = lambda own, seen: (_key(own), shingles(own, plan, seen).view(np.int64))
         return cut(_run(texts, [("fp", T.LongType()), ("hashes", T.ArrayType(T.LongType()))], make, []))
 
     def verified(p: DataFrame) -> DataFrame:
+        p = likely(p)
         sets = hashed(p)
         side = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"hashes_{x}"))
-        return cut(p.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_similar(plan)).select("a", "b").distinct())
+        return cut(p.join(side("a"), "a").join(side("b"), "b").where(_similar(plan)).select("a", "b").distinct())
 
     links = verified(cut(ball_pairs(own, plan).union(chosen(keyed, plan)).distinct()))
     pairs = cut(across(keyed, components(links), plan))
